@@ -49,10 +49,12 @@ def test_held_out_accuracy(spark):
 
 
 def test_odd_rows(spark):
-    base = [(i, ("the and of that with " if i % 2 else "der die das und nicht ") * 9, "en" if i % 2 else "de", "clash") for i in range(60)]
+    rng = np.random.default_rng(3)
+    words = [["der", "die", "das", "und", "nicht", "ich"], ["the", "and", "of", "that", "with", "is"]]
+    base = [(i, " ".join(rng.choice(words[i % 2], 30)), ("de", "en")[i % 2], "clash") for i in range(400)]
     odd = [(None, "the and of", None, None), (100, None, "en", ""), (101, "", "de", ""), (102, "123 !!", "en", ""), (103, "the and " * 50000, None, ""), (103, "the and " * 50000, None, "")]
     rows = langid.predict(spark.createDataFrame(base + odd, SCHEMA)).collect()
-    assert len(rows) == 66 and all(0 <= r.score <= 1 for r in rows)
+    assert len(rows) == 406 and all(0 <= r.score <= 1 for r in rows)
     by = {r.doc_id: r for r in rows}
     assert [by[k].lang_pred for k in (100, 101, 102, 103, 5, 6)] == ["und", "und", "und", "en", "en", "de"]
     assert by[None].held_out
