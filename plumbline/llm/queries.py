@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import langid, simhash
+from plumbline.llm import langid, simhash, toxicity
 from plumbline.llm.common import read
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -19,7 +23,7 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_simhash": op2_simhash, "op8_langid": op8_langid}
+    return {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op8_langid": op8_langid}
 
 
 def oracle_sql() -> dict[str, str]:
