@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import langid, simhash, toxicity
+from plumbline.llm import langid, lengths, packing, simhash, toxicity
 from plumbline.llm.common import read
 
 
@@ -18,12 +18,26 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.token_counts(read(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_toxicity": op1_toxicity, "op2_simhash": op2_simhash, "op8_langid": op8_langid}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_simhash": op2_simhash,
+        "op3_token_counts": op3_token_counts,
+        "op8_langid": op8_langid,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
