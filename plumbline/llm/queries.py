@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, langid, lengths, packing, simhash, toxicity
+from plumbline.llm import classlm, decontaminate, langid, lengths, packing, simhash, toxicity
 from plumbline.llm.common import read
 
 
@@ -30,6 +30,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.predict(read(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_simhash": op2_simhash,
         "op3_token_counts": op3_token_counts,
+        "op4_class_lm": op4_class_lm,
         "op8_langid": op8_langid,
         "op9_decontamination": op9_decontamination,
         "op10_packing": op10_packing,
