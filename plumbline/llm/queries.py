@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import classlm, decontaminate, langid, lengths, licenses, packing, simhash, toxicity
+from plumbline.llm import classlm, decontaminate, langid, lengths, licenses, packing, simhash, topk, toxicity
 from plumbline.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.predict(read(spark, sf_dir, "documents"))
 
 
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash": op2_simhash,
         "op3_token_counts": op3_token_counts,
         "op4_class_lm": op4_class_lm,
+        "op5_topk": op5_topk,
         "op7_license_scan": op7_license_scan,
         "op8_langid": op8_langid,
         "op9_decontamination": op9_decontamination,
