@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import classlm, decontaminate, langid, lengths, licenses, packing, simhash, topk, toxicity
+from plumbline.llm import classlm, decontaminate, extract, langid, lengths, licenses, packing, simhash, topk, toxicity
 from plumbline.llm.common import read
 
 
@@ -38,6 +38,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(read(spark, sf_dir, "embeddings"))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(read(spark, sf_dir, "pages"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": op3_token_counts,
         "op4_class_lm": op4_class_lm,
         "op5_topk": op5_topk,
+        "op6_html_text": op6_html_text,
         "op7_license_scan": op7_license_scan,
         "op8_langid": op8_langid,
         "op9_decontamination": op9_decontamination,
