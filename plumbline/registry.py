@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of plumbline.plans; each has QUERIES (name: function) and ORACLE (name: SQL).
-PLANS: list[str] = []
+PLANS = ["ledgers"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
