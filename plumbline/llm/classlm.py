@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import materialize, pieces, remainder, texts, with_columns
+from plumbline.llm.common import materialize, pieces, remainder, small_batches, texts, with_columns
 
 END = 0  # token ids: the end, then the groups of rare words (the first is for all small groups), then words
 END_WORD = ""  # how the end stands in the table of counts: no word is empty
@@ -95,7 +95,7 @@ def count_words(docs: DataFrame, flush: int = 300_000) -> DataFrame:
         if seen:
             yield out(seen)
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").transform(small_batches).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def lexicon(vocabulary: DataFrame, tokens: int, share: float, listed: float, group_share: float) -> Lexicon:
@@ -151,7 +151,7 @@ def count_pairs(docs: DataFrame, found: Lexicon, flush: int = 1 << 22) -> DataFr
         if parts:
             yield out(parts)
 
-    return docs.select("text").mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return docs.select("text").transform(small_batches).mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 # ---- exchange clustering
@@ -314,7 +314,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     schema = T.StructType([docs.schema["doc_id"], T.StructField("row", T.LongType())] + [T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known")] + [T.StructField(c, T.DoubleType()) for c in ("base_score", "score")])
     schema = schema.add("rare", T.ArrayType(T.StringType())).add("times", T.ArrayType(T.LongType()))
-    rows = materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(run, schema))
+    rows = materialize(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).transform(small_batches).mapInArrow(run, schema))
     each = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     least = float(found.counts.min()) if len(found.counts) else float("inf")
     tail = model.vocabulary.where((F.col("word") != END_WORD) & (F.col("n") < least))

@@ -61,9 +61,26 @@ def binary_column(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndar
 def texts(batch: pa.RecordBatch, name: str) -> Iterator[bytes]:
     """UTF-8 bytes of each row of a text column; null counts as empty."""
     raw, starts, lengths = binary_column(batch, name)
-    data = raw.tobytes()
+    data = memoryview(raw)
     for start, length in zip(starts.tolist(), lengths.tolist()):
-        yield data[start : start + length]
+        yield data[start : start + length].tobytes()
+
+
+def small_batches(df: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """df itself, with the session's Arrow batches held to `size` bytes (a row at least).
+
+    Texts vary from nothing to megabytes, so a limit by rows would not bound
+    the memory of a Python worker and of the buffers that feed it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < _bytes(conf.get(key)) <= size:
+        conf.set(key, str(size))
+    return df
+
+
+def _bytes(setting: str) -> int:
+    number = setting.strip().lower().removesuffix("b")
+    return int(number) if number.lstrip("-").isdigit() else -1
 
 
 def pieces(batches: Iterator[pa.RecordBatch], name: str, max_bytes: int = 16 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -78,6 +95,7 @@ def pieces(batches: Iterator[pa.RecordBatch], name: str, max_bytes: int = 16 <<
             held += length
         if batch.num_rows > done:
             yield batch.slice(done)
+    pa.default_memory_pool().release_unused()
 
 
 def with_columns(batch: pa.RecordBatch, keep: list[str], more: dict[str, pa.Array]) -> pa.RecordBatch:

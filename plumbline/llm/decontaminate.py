@@ -7,8 +7,9 @@ for short items, such that t = m + 1 - q * (e + 1) is at least 1. By the q-gram
 lemma a passage within e edits shares at least t q-grams with the item, all on
 diagonals (place in the text minus place in the item) that lie within e of each
 other. So all shared q-grams are counted in overlapping bands of e + 1
-diagonals and as many again; only regions whose band reaches t are kept, and a
-banded alignment of the whole item settles each of them. Items shorter than q
+diagonals and as many again; only regions are kept whose band reaches t, also
+when just different q-grams of the item on e + 1 diagonals count, and a banded
+alignment of the whole item settles each of them. Items shorter than q
 are found where they are a document's whole text.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import pieces, texts, with_columns
+from plumbline.llm.common import pieces, small_batches, texts, with_columns
 
 Q = 8  # one 64-bit word
 RATE = 0.1
@@ -85,7 +86,7 @@ def index(rows: list[tuple[object, str | None]], rate: float = RATE) -> Index:
 
 
 def regions(found: Index, docs: list[bytes]) -> Iterator[tuple[int, int, int, int]]:
-    """(document, item, first and last diagonal) of the bands that reach the lemma's count."""
+    """(document, item, first and last diagonal) of the regions that reach the lemma's count."""
     if not len(found.grams):
         return
     data = np.frombuffer(b"\n".join(docs), np.uint8)  # a line feed is in no item
@@ -102,19 +103,41 @@ def regions(found: Index, docs: list[bytes]) -> Iterator[tuple[int, int, int, in
     step = found.edits[item] + 1
     shift = found.edits.max() + max(map(len, found.items)) + 1  # keeps diagonals positive
     band = (hit - begin[doc] - found.place[post] + shift) // step
+    diagonal, place = hit - begin[doc] - found.place[post], found.place[post]
     key = ((doc * len(found.items) + item) << 32) | band
-    key, n = np.unique(key, return_counts=True)
+    order = np.argsort(key)
+    key, first = np.unique(key[order], return_index=True)
+    first = np.append(first, len(order))
+    n = np.diff(first)
     nxt = np.minimum(np.searchsorted(key, key + 1), max(0, len(key) - 1))
     double = n + np.where(key[nxt] == key + 1, n[nxt], 0) if len(key) else n
     owner = key >> 32
     for k in np.flatnonzero(double >= found.least[owner % len(found.items)]):
         d, i = divmod(int(owner[k]), len(found.items))
-        low = (int(key[k]) & 0xFFFFFFFF) * (int(found.edits[i]) + 1) - int(shift)
-        yield d, i, low, low + 2 * (int(found.edits[i]) + 1) - 1
+        beside = k + 1 if k + 1 < len(key) and key[k + 1] == key[k] + 1 else k
+        at = order[first[k] : first[beside + 1]]
+        span = shared(diagonal[at], place[at], int(found.edits[i]), int(found.least[i]))
+        if span:
+            yield d, i, *span
 
 
-def align(item: bytes, text: bytes, low: int, high: int) -> tuple[int, int]:
-    """Fewest edits of the whole item against a passage of text on diagonals low to high, and the passage's end (the first such)."""
+def shared(diagonal: np.ndarray, place: np.ndarray, edits: int, least: int) -> tuple[int, int] | None:
+    """First and last of the diagonals from which `edits` more hold `least` different q-grams of the item."""
+    order = np.argsort(diagonal)
+    diagonal, place = diagonal[order], place[order]
+    found = []
+    for d in np.unique(diagonal):
+        a, b = np.searchsorted(diagonal, [d, d + edits + 1])
+        if b - a >= least and len(np.unique(place[a:b])) >= least:
+            found += [int(d), int(diagonal[b - 1])]
+    return (min(found), max(found)) if found else None
+
+
+def align(item: bytes, text: bytes, low: int, high: int, most: int) -> tuple[int, int]:
+    """Fewest edits of the whole item against a passage of text on diagonals low to high, and the passage's end (the first such).
+
+    Gives up, with most + 1, as soon as no more than `most` edits are out of reach.
+    """
     pattern, width = np.frombuffer(item, np.uint8), high - low + 1
     padded = np.zeros(len(item) + width + 1, np.uint8)
     a, b = max(0, low), max(0, min(len(text), low + len(item) + width))
@@ -127,9 +150,12 @@ def align(item: bytes, text: bytes, low: int, high: int) -> tuple[int, int]:
     row = np.where((starts >= 0) & (starts <= len(text)), 0, far)  # a passage may begin anywhere
     for i in range(len(pattern)):
         seen, ok = padded[i : i + width], inside[i : i + width]
-        new = np.minimum(np.where(ok, row + (seen != pattern[i]), far), np.append(row[1:], far) + 1)
+        new = np.where(ok, row + (seen != pattern[i]), far)
+        np.minimum(new[:-1], row[1:] + 1, out=new[:-1])
         row = np.minimum.accumulate(new - spread) + spread  # text characters that the item lacks
-        row = np.where((low + spread + i + 1 >= 0) & (low + spread + i + 1 <= len(text)), row, far)
+        row[(starts + i + 1 < 0) | (starts + i + 1 > len(text))] = far
+        if row.min() > most:
+            return most + 1, 0
     best = int(row.argmin())
     return int(row[best]), low + best + len(pattern)
 
@@ -150,10 +176,10 @@ def passages(found: Index, docs: list[bytes]) -> list[tuple[int, int, int, int,
         if start >= 0:
             kept.setdefault((d, i), []).append((0, start, start + len(item)))
             continue
-        edits, end = align(item, text, low - e, high + e)
+        edits, end = align(item, text, low - e, high + e, e)
         if edits <= e:
             back = len(text) - end
-            _, behind = align(item[::-1], text[::-1], back - e, back + e)
+            _, behind = align(item[::-1], text[::-1], back - e, back + e, e)
             kept.setdefault((d, i), []).append((edits, len(text) - behind, end))
     rows = []
     for (d, i), spans in sorted(kept.items()):
@@ -213,7 +239,7 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, keep: tuple[
                 }
                 yield with_columns(batch.take(pa.array([r[0] for r in rows], pa.int64())), names, new)
 
-        return source.mapInArrow(run, schema)
+        return source.transform(small_batches).mapInArrow(run, schema)
 
     pa_type = pa.string() if isinstance(item_type, T.StringType) else pa.int64() if isinstance(item_type, T.LongType) else pa.int32()
     parts = [search(found) for found in shards(benchmark, rate)]
@@ -229,7 +255,7 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RAT
                 hit = {r[0] for r in passages(found, [normalize(t) for t in texts(batch, "text")])}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.transform(small_batches).mapInArrow(run, rows.schema)
 
     for found in shards(benchmark, rate):
         docs = drop(found, docs)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import materialize, pieces, texts, with_columns
+from plumbline.llm.common import materialize, pieces, small_batches, texts, with_columns
 
 LENGTH = 8
 CONTENT, OPEN, FURNITURE = 2, 1, 0
@@ -269,7 +269,7 @@ def parsed(pages: DataFrame) -> DataFrame:
             yield with_columns(batch, ["row", "page_id", "url"], {"host": pa.array(hosts, pa.string()), "signature": pa.array(same, pa.int64()), "blocks": pa.array(found, PA_BLOCKS)})
 
     schema = T.StructType([T.StructField("row", T.LongType()), pages.schema["page_id"], pages.schema["url"], T.StructField("host", T.StringType()), T.StructField("signature", T.LongType()), T.StructField("blocks", BLOCK_TYPE)])
-    return materialize(pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row")).mapInArrow(run, schema))
+    return materialize(pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row")).transform(small_batches).mapInArrow(run, schema))
 
 
 def extract(pages: DataFrame, length: int = LENGTH, shard_pages: int = 256, share: float = 0.05) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import binary_column, pieces, remainder, texts, with_columns
+from plumbline.llm.common import binary_column, pieces, remainder, small_batches, texts, with_columns
 
 UNDETERMINED = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -230,7 +230,7 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",),
 
     fields = [T.StructField(n, docs.schema[n].dataType) for n in names]
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, T.StructType(fields + more))
+    return docs.select(*dict.fromkeys([*names, text])).transform(small_batches).mapInArrow(run, T.StructType(fields + more))
 
 
 def predict(docs: DataFrame, fold: int = 5) -> DataFrame:
@@ -247,4 +247,4 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.35, text: st
             lang, score = label_batch(model, batch, text)
             yield batch.filter(pa.array([y != UNDETERMINED and s >= least for y, s in zip(lang, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(small_batches).mapInArrow(run, docs.schema)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import pieces, texts
+from plumbline.llm.common import pieces, small_batches, texts
 from plumbline.llm.tokens import encode
 
 
@@ -21,7 +21,7 @@ def histogram(docs: DataFrame, text: str = "text", path: str | None = None) -> D
             length, n = np.unique(np.array([len(encode(t.decode("utf-8"), path)) for t in texts(batch, text)], np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(n.astype(np.int64))], names=["length", "n_docs"])
 
-    return docs.select(text).mapInArrow(run, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
+    return docs.select(text).transform(small_batches).mapInArrow(run, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 
 def suffix_sums(counts: DataFrame, block: int = 1024) -> DataFrame:

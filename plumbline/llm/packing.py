@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import materialize, pieces, texts, with_columns
+from plumbline.llm.common import materialize, pieces, small_batches, texts, with_columns
 from plumbline.llm.tokens import encode
 
 CAPACITY = 1024
@@ -132,7 +132,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | N
             yield with_columns(batch.take(pa.array(owner, pa.int64())), ["doc_id"], new)
 
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)] + [T.StructField(n, T.IntegerType() if n in ("piece", "task") else T.LongType()) for n in ("piece", "start", "length", "ids_crc32", "local", "task")])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").transform(small_batches).mapInArrow(run, schema)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from plumbline.llm.common import materialize, pieces, texts, with_columns
+from plumbline.llm.common import materialize, pieces, small_batches, texts, with_columns
 from plumbline.llm.components import components
 
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
             yield with_columns(batch, names, {"fp": pa.array(fps, pa.int64())})
 
     fields = [T.StructField(n, docs.schema[n].dataType) for n in names]
-    return docs.select(*dict.fromkeys([*names, text])).mapInArrow(run, T.StructType([*fields, T.StructField("fp", T.LongType(), False)]))
+    return docs.select(*dict.fromkeys([*names, text])).transform(small_batches).mapInArrow(run, T.StructType([*fields, T.StructField("fp", T.LongType(), False)]))
 
 
 def segments(radius: int) -> list[tuple[int, int, int]]:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import materialize, pieces, remainder, texts, with_columns
+from plumbline.llm.common import materialize, pieces, remainder, small_batches, texts, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
@@ -194,7 +194,7 @@ def term_counts(sample: DataFrame) -> DataFrame:
                 n = len(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(list(counts.values()) if y else [0] * n, pa.int64()), pa.array([0] * n if y else list(counts.values()), pa.int64())], names=["term", "toxic", "clean"])
 
-    return sample.mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return sample.transform(small_batches).mapInArrow(run, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def distinctive(counts: DataFrame, n1: int, n0: int) -> DataFrame:
@@ -287,7 +287,7 @@ def _sample_rows(sample: DataFrame, best: list[str], voters: Voters) -> DataFram
                 masks.append(voters.votes(text, low, found))
             yield with_columns(batch, ["toxic"], {"terms": pa.array(hits, pa.list_(pa.string())), "mask": pa.array(masks, pa.int64())})
 
-    return sample.select("toxic", "text").mapInArrow(run, "toxic int, terms array<string>, mask long")
+    return sample.select("toxic", "text").transform(small_batches).mapInArrow(run, "toxic int, terms array<string>, mask long")
 
 
 def _votes(docs: DataFrame, voters: Voters) -> DataFrame:
@@ -300,7 +300,7 @@ def _votes(docs: DataFrame, voters: Voters) -> DataFrame:
                 masks.append(voters.votes(text, low, terms_of(low, voters.lengths)))
             yield pa.RecordBatch.from_arrays([pa.array(masks, pa.int64())], names=["mask"])
 
-    return docs.select("text").mapInArrow(run, "mask long")
+    return docs.select("text").transform(small_batches).mapInArrow(run, "mask long")
 
 
 # ---- scoring
@@ -334,7 +334,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
             yield with_columns(batch, names, {"score": pa.array([scorer.score(t) for t in texts(batch, "text")], pa.float64())})
 
     fields = [T.StructField(n, docs.schema[n].dataType) for n in names]
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
+    return docs.select(*dict.fromkeys([*names, "text"])).transform(small_batches).mapInArrow(run, T.StructType([*fields, T.StructField("score", T.DoubleType())]))
 
 
 def predict(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
@@ -351,4 +351,4 @@ def keep_clean(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
         for batch in pieces(batches, "text", max_bytes=4 << 20):
             yield batch.filter(pa.array([scorer.score(t) < below for t in texts(batch, "text")], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(small_batches).mapInArrow(run, docs.schema)
