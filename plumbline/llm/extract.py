@@ -14,19 +14,24 @@ them and they carry no paragraph or heading of the article; furniture goes.
 
 Hosts with many pages are dealt to shards; each shard has a suffix array of its
 own and reports the pages of its runs, which are added up over the shards, so a
-run counts as it would in one array over the whole host.
+run counts as it would in one array over the whole host. Only the streams, packed,
+are shuffled; the pages themselves are parsed once more where they are read, next
+to their host's boilerplate.
 """
 
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -141,9 +146,10 @@ def blocks(page: str) -> list[tuple[str, int, bool]]:
     return found
 
 
-def host_of(url: str | None) -> str:
-    found = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
-    return found[1].lower() if found else ""
+def host_of(url: Column) -> Column:
+    """The host a URL names, lower-cased; empty where it names none."""
+    pattern = r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), pattern, 1))
 
 
 # ---- repeated runs
@@ -254,52 +260,117 @@ def main_text(page_blocks: list[dict], boilerplate: set[int], length: int = LENG
 
 # ---- Spark
 
-BLOCK_TYPE = T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("zone", T.IntegerType()), T.StructField("paragraph", T.BooleanType())]))
-PA_BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("zone", pa.int32()), ("paragraph", pa.bool_())]))
+STREAM_BYTES = 8 << 20
+KNOWN_RUNS = 1 << 20
 
 
-def parsed(pages: DataFrame) -> DataFrame:
-    """row, page_id, url, host, blocks and a signature of them, of every page; a null html is empty."""
+def pack_streams(pages: list[tuple[int, list[tuple[str, int, bool]]]]) -> bytes:
+    """(signature, blocks) of pages of one shard, compressed together."""
+    plain = [[s, [[zone, text.lower()] for text, zone, _ in found]] for s, found in pages]
+    return zstandard.compress(json.dumps(plain, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"), 3)
+
+
+def unpack_streams(packed: list[bytes]) -> list[list[dict]]:
+    """The different pages of a shard."""
+    pages: dict[int, list[dict]] = {}
+    for blob in packed:
+        for s, found in json.loads(zstandard.decompress(blob)):
+            if s not in pages:
+                pages[s] = [{"zone": zone, "text": text} for zone, text in found]
+    return list(pages.values())
+
+
+def streams(pages: DataFrame, shard_pages: int) -> DataFrame:
+    """(host, shard, packed): the token streams of all pages, each task's copies of a page once."""
+    hosts = pages.select(host_of(F.col("url")).alias("host"))
+    large = materialize(hosts.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).cast("int").alias("shards")).where("shards > 1"))
+    few = large.count() <= KNOWN_RUNS // 16
+    dealt = pages.select(host_of(F.col("url")).alias("host"), "html").join(F.broadcast(large) if few else large, "host", "left").select("host", F.coalesce("shards", F.lit(1)).alias("shards"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
+        held: dict[tuple[str, int], list] = {}
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            keys = list(held)
+            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([pack_streams(held[k]) for k in keys], pa.binary())], names=["host", "shard", "packed"])
+
         for batch in pieces(batches, "html", max_bytes=4 << 20, max_rows=512):
-            found = [[{"text": t, "zone": z, "paragraph": p} for t, z, p in blocks(h.decode("utf-8", "replace"))] for h in texts(batch, "html")]
-            hosts = [host_of(u) for u in batch.column(batch.schema.get_field_index("url")).to_pylist()]
-            same = [xxhash.xxh64_intdigest("\0".join(b["text"] for b in p)) - (1 << 63) for p in found]
-            yield with_columns(batch, ["row", "page_id", "url"], {"host": pa.array(hosts, pa.string()), "signature": pa.array(same, pa.int64()), "blocks": pa.array(found, PA_BLOCKS)})
+            hosts, shards = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("host", "shards"))
+            for host, n, raw in zip(hosts, shards, texts(batch, "html")):
+                found = blocks(raw.decode("utf-8", "replace"))
+                signature = xxhash.xxh64_intdigest("\0".join(b[0] for b in found))
+                if (host, signature) in seen:
+                    continue
+                seen.add((host, signature))
+                held.setdefault((host, signature % n), []).append((signature, found))
+                size += sum(len(b[0]) for b in found) + 64
+                if size > STREAM_BYTES:
+                    yield packed()
+                    held, size = {}, 0
+        if held:
+            yield packed()
+
+    return dealt.transform(small_batches).mapInArrow(run, "host string, shard int, packed binary")
+
 
-    schema = T.StructType([T.StructField("row", T.LongType()), pages.schema["page_id"], pages.schema["url"], T.StructField("host", T.StringType()), T.StructField("signature", T.LongType()), T.StructField("blocks", BLOCK_TYPE)])
-    return materialize(pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("row")).transform(small_batches).mapInArrow(run, schema))
+def boilerplate_runs(pages: DataFrame, length: int = LENGTH, shard_pages: int = 256, share: float = 0.05) -> DataFrame:
+    """(host, run): hashes of the runs of `length` words that are a host's boilerplate."""
 
+    def gather(group: pa.Table) -> pa.Table:
+        found = unpack_streams(group.column("packed").to_pylist())
+        hashes, n = shard_runs(found, length)
+        host = group.column("host")[0].as_py()
+        runs = pa.concat_arrays([pa.array([None], pa.int64()), pa.array(hashes.view(np.int64))])  # null: the shard's different pages
+        return pa.table({"host": pa.array([host] * len(runs), pa.string()), "run": runs, "n": pa.array(np.append(len(found), n).astype(np.int64))})
+
+    runs = materialize(streams(pages, shard_pages).groupBy("host", "shard").applyInArrow(gather, "host string, run long, n long"))
+    different = runs.where("run is null").groupBy("host").agg(F.sum("n").alias("different"))
+    counted = runs.where("run is not null").groupBy("host", "run").agg(F.sum("n").alias("n")).where("n > 1")
+    return counted.join(different, "host").where(F.col("n") >= F.ceil(share * F.col("different"))).select("host", "run")
 
-def extract(pages: DataFrame, length: int = LENGTH, shard_pages: int = 256, share: float = 0.05) -> DataFrame:
+
+def extract(pages: DataFrame, length: int = LENGTH, shard_pages: int = 256, share: float = 0.05, known_runs: int = KNOWN_RUNS) -> DataFrame:
     """page_id, url, text, n_chars for every page; text is empty where nothing is left.
 
     A run has to stand on `share` of the host's different pages, and on two, to
     be boilerplate. Pages without a host share one. Repeated pages come back as
-    often as they come. Extra columns play no part; an empty table gives an
-    empty result.
+    often as they come. A null html is empty. Extra columns play no part; an
+    empty table gives an empty result. Up to `known_runs` boilerplate runs go to
+    all tasks; more than that are joined to the pages by host.
     """
-    rows = parsed(pages)
-    different = rows.groupBy("host", "signature").agg(F.count("*").alias("n"))
-    sizes = materialize(different.groupBy("host").agg(F.count("*").alias("different"), F.ceil(F.sum("n") / shard_pages).cast("int").alias("shards")))
-    shard = lambda key: F.pmod(F.xxhash64(key), F.col("shards")).cast("int")
-    once = rows.groupBy("host", "signature").agg(F.first("blocks").alias("blocks")).join(sizes, "host").withColumn("shard", shard("signature"))
+    runs = materialize(boilerplate_runs(pages, length, shard_pages, share))
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
+    everywhere = None
+    if runs.count() <= known_runs:
+        table = runs.toArrow().sort_by("host")
+        names, at = np.unique(np.array(table.column("host").to_pylist(), object).astype(str), return_index=True)
+        parts = np.split(table.column("run").to_numpy().astype(np.int64), at[1:])
+        everywhere = pages.sparkSession.sparkContext.broadcast(dict(zip(names.tolist(), parts)))
+    else:
+        rows = rows.join(runs.groupBy("host").agg(F.collect_list("run").alias("known")), "host", "left").select("page_id", "url", "html", "host", "known")
 
-    def gather(group: pa.Table) -> pa.Table:
-        hashes, n = shard_runs(group.column("blocks").to_pylist(), length)
-        host = group.column("host")[0].as_py()
-        return pa.table({"host": pa.array([host] * len(n), pa.string()), "run": pa.array(hashes.view(np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    runs = once.select("host", "shard", "blocks").groupBy("host", "shard").applyInArrow(gather, "host string, run long, n long")
-    repeated = runs.groupBy("host", "run").agg(F.sum("n").alias("n")).join(sizes, "host").where(F.col("n") >= F.greatest(F.lit(2), F.ceil(share * F.col("different"))))
-    to_shards = materialize(repeated.select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "run"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        @lru_cache(64)
+        def of_host(host: str) -> frozenset[int]:
+            return frozenset(everywhere.value.get(host, np.zeros(0, np.int64)).view(np.uint64).tolist())
 
-    def finish(group: pa.Table, known: pa.Table) -> pa.Table:
-        boilerplate = {r % (1 << 64) for r in known.column("run").to_pylist()}
-        found = [main_text(b, boilerplate, length) for b in group.column("blocks").to_pylist()]
-        return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(found, pa.string()), "n_chars": pa.array([len(t) for t in found], pa.int64())})
+        last: tuple[str | None, frozenset[int]] = (None, frozenset())
+        for batch in pieces(batches, "html", max_bytes=4 << 20, max_rows=512):
+            found = []
+            hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
+            for i, (host, raw) in enumerate(zip(hosts, texts(batch, "html"))):
+                if everywhere is not None:
+                    known = of_host(host)
+                else:
+                    if host != last[0]:
+                        joined = batch.column(batch.schema.get_field_index("known"))[i].as_py() or []
+                        last = (host, frozenset(r % (1 << 64) for r in joined))
+                    known = last[1]
+                page = [{"text": t, "zone": z, "paragraph": p} for t, z, p in blocks(raw.decode("utf-8", "replace"))]
+                found.append(main_text(page, known, length))
+            yield with_columns(batch, ["page_id", "url"], {"text": pa.array(found, pa.string()), "n_chars": pa.array([len(t) for t in found], pa.int64())})
 
     schema = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
-    left = rows.join(sizes, "host").withColumn("shard", shard("row")).select("host", "shard", "page_id", "url", "blocks").groupBy("host", "shard")
-    return left.cogroup(to_shards.groupBy("host", "shard")).applyInArrow(finish, schema)
+    return rows.transform(small_batches).mapInArrow(run, schema)
