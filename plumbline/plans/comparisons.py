@@ -267,9 +267,9 @@ SELECT session, verdict, count(*) AS calls FROM j GROUP BY 1, 2""",
     "rc_gaps": CALLS + """, p AS (SELECT session, event_id AS pos, CASE WHEN event_id % 41 = 0 THEN idx + 3 WHEN event_id % 43 = 0 THEN greatest(idx - 2, 1) ELSE idx END AS idx FROM calls),
 h AS (SELECT *, coalesce(max(idx) OVER (PARTITION BY session ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS high, row_number() OVER (PARTITION BY session, idx ORDER BY pos) > 1 AS again FROM p),
 f AS (SELECT session, pos, idx, CASE WHEN idx > high + 1 THEN 'gap' WHEN again THEN 'repeat' WHEN idx <= high THEN 'out_of_order' END AS finding FROM h) SELECT * FROM f WHERE finding IS NOT NULL""",
-    "rc_headline": CALLS + """, f AS (SELECT session, CASE WHEN event_id % 2 = 0 THEN 'ALTERED' ELSE 'MISSING' END AS verdict, CASE WHEN event_id % 3 <> 0 THEN idx // 10 ELSE 0 END AS at, CASE WHEN event_id % 5 < 2 THEN 'agent' ELSE 'tool' END AS side FROM calls WHERE event_id % 7 = 0),
-r AS (SELECT *, rank() OVER (PARTITION BY session ORDER BY at, verdict) AS k FROM f)
-SELECT session, CAST(min(at) AS BIGINT) AS at, min(verdict) AS verdict, CASE WHEN count(DISTINCT side) > 1 THEN 'both' ELSE min(side) END AS side FROM r WHERE k = 1 GROUP BY 1""",
+    "rc_headline": CALLS + """, f AS (SELECT session, CASE WHEN event_id % 2 = 0 THEN 'ALTERED' ELSE 'MISSING' END AS verdict, CASE WHEN event_id % 3 <> 0 THEN idx // 10 ELSE 0 END AS "at", CASE WHEN event_id % 5 < 2 THEN 'agent' ELSE 'tool' END AS side FROM calls WHERE event_id % 7 = 0),
+r AS (SELECT *, rank() OVER (PARTITION BY session ORDER BY "at", verdict) AS k FROM f)
+SELECT session, CAST(min("at") AS BIGINT) AS "at", min(verdict) AS verdict, CASE WHEN count(DISTINCT side) > 1 THEN 'both' ELSE min(side) END AS side FROM r WHERE k = 1 GROUP BY 1""",
     "rc_pins": CALLS + """, t AS (SELECT session, idx, md5(CAST(event_id AS VARCHAR)) AS chain FROM calls), n AS (SELECT session, max(idx) AS n FROM t GROUP BY 1),
 p AS (SELECT session, CASE WHEN idx % 50 = 0 THEN idx + 40 ELSE idx END AS rows, chain FROM t WHERE idx % 25 = 0)
 SELECT p.session, p.rows, CASE WHEN n.n < p.rows THEN 'short' WHEN t.chain = p.chain THEN 'agrees' ELSE 'differs' END AS finding FROM p JOIN n USING (session) LEFT JOIN t ON t.session = p.session AND t.idx = p.rows""",
