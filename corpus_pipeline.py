@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, langid, packing, simhash, toxicity
+from plumbline.llm import decontaminate, langid, neardup, packing, toxicity
 from plumbline.llm.common import materialize, read
 
 
@@ -23,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by SimHash."""
-    return simhash.keep_first(docs)
+    """Keeps one document of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
+    return neardup.keep_first(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
