@@ -18,7 +18,7 @@ def histogram(docs: DataFrame, text: str = "text", path: str | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text, max_bytes=4 << 20):
-            length, n = np.unique(np.array([len(encode(t.decode("utf-8"), path)) for t in texts(batch, text)], np.int64), return_counts=True)
+            length, n = np.unique(np.array([len(encode(t.decode("utf-8", "replace"), path)) for t in texts(batch, text)], np.int64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length), pa.array(n.astype(np.int64))], names=["length", "n_docs"])
 
     return docs.select(text).transform(small_batches).mapInArrow(run, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
@@ -28,8 +28,8 @@ def suffix_sums(counts: DataFrame, block: int = 1024) -> DataFrame:
     """For each length as a context limit, what suffix sums of the histogram answer.
 
     length: the limit; n_docs: documents of just this length; docs_above and
-    tokens_above: documents longer than it, and their tokens; docs_cut equals
-    docs_above; tokens_kept: tokens left when every document is cut at the
+    tokens_above: documents longer than it (those cut there), and their tokens;
+    tokens_kept: tokens left when every document is cut at the
     limit; tokens_lost: the rest; docs_total, tokens_total: of the corpus;
     quantile: share of documents no longer than the limit. Sums run inside
     blocks of lengths and over the blocks' totals, so that no task has to hold

@@ -121,7 +121,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str | N
         for batch in pieces(batches, "text", max_bytes=4 << 20):
             owner, rows = [], []
             for i, raw in enumerate(texts(batch, "text")):
-                ids = np.append(encode(raw.decode("utf-8"), path), np.uint32(end)).astype("<u4")
+                ids = np.append(encode(raw.decode("utf-8", "replace"), path), np.uint32(end)).astype("<u4")
                 edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)] if len(ids) > capacity else [0, len(ids)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
                     owner.append(i)

@@ -1,4 +1,10 @@
-"""Token ids of whole texts under a public byte-level vocabulary."""
+"""Token ids of whole texts under a public byte-level vocabulary.
+
+Two public libraries read the same vocabulary and give the same ids. `tiktoken`
+takes ordinary text, being several times faster; a part with a very long word or
+a very long run of white space, on which its pattern would overflow the stack
+and its merging take quadratic time, goes to `tokenizers`.
+"""
 
 from __future__ import annotations
 
@@ -10,24 +16,34 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import tiktoken
+from tokenizers import Tokenizer
 
-VOCABULARY = "byte_bpe_50k.tiktoken"  # the same ids as byte_bpe_50k.json
-_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
+VOCABULARY = "byte_bpe_50k"  # as .json and as .tiktoken
+_CUT = re.compile(r"(?<=[A-Za-z一-鿿가-힣])(?=\W)")
+_LONG = re.compile(r"\s{1024}|\S{1024}")
 
 
 @lru_cache(maxsize=4)
 def encoding(path: str | None = None) -> tiktoken.Encoding:
     """The encoder of a rank file; without a path, of VOCABULARY among the installed files."""
-    with open(path or public_tokenizers.path(VOCABULARY), "rb") as lines:
+    with open(path or public_tokenizers.path(f"{VOCABULARY}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def tokenizer(path: str | None = None) -> Tokenizer:
+    found = Tokenizer.from_file(path or public_tokenizers.path(f"{VOCABULARY}.json"))
+    found.encode_special_tokens = True
+    return found
+
+
 def parts(text: str, size: int = 1 << 18) -> Iterator[str]:
     """A long text in parts that are encoded alike alone and together.
 
-    The pattern never joins a letter with the space behind it, so a cut between
-    a letter and a space before a letter changes no id.
+    A piece of the pattern that ends in a letter goes on with letters only, and
+    the pattern never looks back: a cut between a letter and what is none
+    changes no id.
     """
     begin = 0
     while len(text) - begin > 2 * size:
@@ -39,8 +55,12 @@ def parts(text: str, size: int = 1 << 18) -> Iterator[str]:
     yield text[begin:] if begin else text
 
 
-def encode(text: str, path: str | None = None) -> np.ndarray:
-    """Ids of a whole text; strings of special tokens are ordinary text."""
-    encoder = encoding(path)
-    found = [np.array(encoder.encode_ordinary(p), np.uint32) for p in parts(text)]
+def encode(text: str, ranks: str | None = None, vocabulary: str | None = None) -> np.ndarray:
+    """Ids of a whole text; strings of special tokens are ordinary text. The paths are those of one vocabulary in both forms."""
+    found = []
+    for part in parts(text):
+        if _LONG.search(part):
+            found.append(np.array(tokenizer(vocabulary).encode(part, add_special_tokens=False).ids, np.uint32))
+        else:
+            found.append(np.array(encoding(ranks).encode_ordinary(part), np.uint32))
     return found[0] if len(found) == 1 else np.concatenate(found)
