@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,26 +19,46 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where unset, our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir.
+
+    Where it is unset, a local master, whose executors are this one process,
+    gets a temporary folder that goes with the process; a cluster has no folder
+    of its own to fall back to, and is refused (ValueError).
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="plumbline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir("file://" + folder)
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
+_RUN = uuid.uuid4().hex
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: cuts the lineage.
 
     The written rows no longer depend on any executor's local files, and keys
     made while writing (partition ids, running numbers) are fixed from then on.
+    Results read them, so they stay until `clear` is called.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline/{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/plumbline/{_RUN}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this process has written to the shared folder; results not yet read are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/plumbline/{_RUN}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
