@@ -31,8 +31,8 @@ def test_odd_rows(spark):
     rows += [(300 + i, [0.25] * 5) for i in range(60)]
     schema = "vec_id long, embedding array<float>, score string"
     df = spark.createDataFrame([(*r, "x") for r in rows], schema)
-    for size in (7, 1000):
-        assert sorted(tuple(r) for r in topk.search(df, block_rows=size).collect()) == plain(rows)
+    for settings in ({"block_rows": 7}, {"block_rows": 1000}, {"block_rows": 5, "ranges": 3}):
+        assert sorted(tuple(r) for r in topk.search(df, **settings).collect()) == plain(rows)
     assert topk.search(df.limit(0)).collect() == []
     few = spark.createDataFrame([(0, [1.0], ""), (1, [2.0], "")], schema)
     assert [tuple(r) for r in topk.search(few).collect()] == [(0, 1, 1, 64 * 128)]
@@ -52,3 +52,23 @@ def test_bounds_hold_and_prune():
     top, low = np.stack([np.maximum(p.max(0), 0) for p in parts]), np.stack([np.minimum(p.min(0), 0) for p in parts])
     bound = topk.upper_bounds(q, top, low)
     assert all((bound[:, i] >= (q @ p.T).max(1)).all() for i, p in enumerate(parts))
+
+
+def test_very_many_ties(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(3000)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), modulus=1000, block_rows=64).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(q, n, v) for q in (0, 1000, 2000) for n, v in enumerate([i for i in range(21) if i != q][:20], 1)]
+
+
+def test_bounds_prune_where_vectors_differ_in_length(spark):
+    """Only the block of long vectors is scored in the last round: the rest can't reach the k-th score."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(np.float32(abs(x) * (50 if i < 40 else 0.5))) for x in rng.normal(0, 1, 4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.search(df, block_rows=40).collect()) == plain(rows)
+    index = topk.blocks(topk.quantized(df), 10, 40)
+    bounds = sorted(topk.range_bounds(index).collect())
+    queries = topk._as_bytes(topk.quantized(df).where("vec_id % 20 = 0")).selectExpr("row", "vec_id", "vector", "60000L as least", "0L as least_id")
+    top, low = topk._matrix([bytes(b["top"]) for b in bounds]), topk._matrix([bytes(b["low"]) for b in bounds])
+    due = topk.due(queries, np.array([b["block"] for b in bounds], np.int32), top, low, 0, len(bounds))
+    assert 0 < due.count() < 0.6 * queries.count() * len(bounds)
