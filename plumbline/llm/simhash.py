@@ -129,18 +129,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(owner, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 2, width: int = 3) -> DataFrame:
     """The rows of documents, all columns, of which each group of near-duplicates keeps one.
 
     Of a group the row with the smallest doc_id stays, null ids last; of rows
     with that id the first by its text's hash and length, and of rows that are
-    alike in all this any one.
+    alike in all this any one. The table may have any other columns.
     """
+    row = next(n for n in (f"row_{i}" for i in range(len(docs.columns) + 1)) if n not in {c.lower() for c in docs.columns})
     place = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text), F.length(text))
-    rows = materialize(docs.withColumn("_row", F.struct(place.alias("place"), F.monotonically_increasing_id().alias("n"))))
-    fps = materialize(fingerprints(rows, text, keep=("_row",)))
-    nodes = materialize(fps.groupBy("fp").agg(F.min("_row").alias("first")))
+    rows = materialize(docs.withColumn(row, F.struct(place.alias("place"), F.monotonically_increasing_id().alias("n"))))
+    fps = materialize(fingerprints(rows, text, keep=(row,), width=width).withColumnRenamed(row, "at"))
+    nodes = materialize(fps.groupBy("fp").agg(F.min("at").alias("first")))
     roots = components(links(nodes.select("fp"), radius))
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("_n"))
-    return rows.join(kept, F.col("_row.n") == F.col("_n"), "left_semi").drop("_row").select(docs.columns)
+    kept = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("kept_n"))
+    return rows.join(kept, rows[row]["n"] == kept["kept_n"], "left_semi").drop(row).select(docs.columns)
