@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -46,29 +47,19 @@ def link(previous: str, row: dict, leave_out: tuple[str, ...] = ("chain",)) -> s
 
 
 def _number(x: float) -> str:
-    """A double the way ECMAScript prints it."""
-    if math.isnan(x) or math.isinf(x):
+    """A double the way ECMAScript prints it: its shortest digits, plain from 1e-6 up to 1e21, else with an exponent."""
+    if not math.isfinite(x):
         raise ValueError("no canonical form")
-    if x == 0:
+    exact = Decimal(repr(x)).normalize()
+    if not exact:
         return "0"
-    mantissa, _, exponent = repr(abs(x)).partition("e")
-    whole, _, rest = mantissa.partition(".")
-    rest = "" if rest == "0" else rest
-    point = len(whole) + (int(exponent) if exponent else 0)
-    digits = (whole + rest).lstrip("0")
-    point -= len(whole + rest) - len((whole + rest).lstrip("0"))
-    digits = digits.rstrip("0") or "0"
-    n = len(digits)
-    if n <= point <= 21:
-        text = digits + "0" * (point - n)
-    elif 0 < point <= 21:
-        text = digits[:point] + "." + digits[point:]
-    elif -6 < point <= 0:
-        text = "0." + "0" * -point + digits
-    else:
-        e = point - 1
-        text = digits[0] + ("." + digits[1:] if n > 1 else "") + "e" + ("+" if e > 0 else "-") + str(abs(e))
-    return ("-" if x < 0 else "") + text
+    plain = Decimal("1e-6") <= abs(exact) < Decimal("1e21")
+    return format(exact, "f") if plain else format(exact, "e")
+
+
+def _string(text: str) -> str:
+    text.encode("utf-8")  # a lone surrogate has no canonical form: UnicodeEncodeError is a ValueError
+    return json.dumps(text, ensure_ascii=False)
 
 
 def jcs(value: object) -> str:
@@ -82,11 +73,11 @@ def jcs(value: object) -> str:
     if isinstance(value, float):
         return _number(value)
     if isinstance(value, str):
-        return json.dumps(value, ensure_ascii=False)
+        return _string(value)
     if isinstance(value, list):
         return "[" + ",".join(map(jcs, value)) + "]"
-    items = sorted(value.items(), key=lambda kv: kv[0].encode("utf-16-be"))
-    return "{" + ",".join(jcs(k) + ":" + jcs(v) for k, v in items) + "}"
+    items = sorted(value.items(), key=lambda kv: kv[0].encode("utf-16-be", "surrogatepass"))
+    return "{" + ",".join(_string(k) + ":" + jcs(v) for k, v in items) + "}"
 
 
 def _or_null(f, raw: str | None) -> str | None:  # noqa: ANN001

@@ -2,17 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Published shapes of credentials, by name.
 SECRETS = {"aws_key": "AKIA[0-9A-Z]{16}", "github_token": "gh[pousr]_[A-Za-z0-9]{36}", "slack_token": "xox[baprs]-[A-Za-z0-9-]{10,}", "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----"}
 
 
+@F.pandas_udf(T.StringType())
+def _nfkc_folded(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+
+def folded(text: Column) -> Column:
+    """NFKC and case-folded; plain ASCII, where both only lower-case, stays in the JVM."""
+    return F.when(text.rlike("[^\\x00-\\x7F]"), _nfkc_folded(text)).otherwise(F.lower(text))
+
+
 def normalized(text: Column) -> Column:
-    """Case-folded words, one space between them."""
-    folded = F.regexp_replace(F.lower(text), "ß", "ss")
-    return F.array_join(F.regexp_extract_all(folded, F.lit("([\\p{L}\\p{N}_]+)"), 1), " ")
+    """Words after NFKC and case folding, one space between them."""
+    return F.array_join(F.regexp_extract_all(folded(text), F.lit("([\\p{L}\\p{N}_]+)"), 1), " ")
 
 
 def char_grams(text: Column, size: int = 4) -> Column:

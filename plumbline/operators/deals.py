@@ -60,33 +60,3 @@ def handshake(proposals: DataFrame, acceptances: DataFrame) -> DataFrame:
         .otherwise("AGREED_TERMS")
     )
     return p.join(a, "id", "full").select("id", word.alias("verdict"))
-
-
-def inside_mandate(seller: Column, merchant: Column, currency: Column, allowed: Column, total: Column, cap: Column, at: Column, not_before: Column, not_after: Column) -> tuple[Column, Column]:
-    """(inside, reason): true, false, or null where something can't be read. Rules in order; the first to break decides.
-
-    Amounts are text; beyond 38 digits they can't be read.
-    """
-    amount = lambda c: F.expr("null").cast("decimal(38,18)") if c is None else c.try_cast("decimal(38,18)")
-    money, most = amount(total), amount(cap)
-    when, start, end = (F.try_to_timestamp(c) for c in (at, not_before, not_after))
-    reason = (
-        F.when(~seller.eqNullSafe(merchant), "merchant")
-        .when(~currency.eqNullSafe(allowed), "currency")
-        .when(money.isNull() | most.isNull(), "unreadable_amount")
-        .when(money > most, "over_cap")
-        .when(when.isNull(), "unreadable_time")
-        .when((not_before.isNotNull() & start.isNull()) | (not_after.isNotNull() & end.isNull()), "unreadable_window")
-        .when(F.coalesce(when < start, F.lit(False)), "before_window")
-        .when(F.coalesce(when > end, F.lit(False)), "after_window")
-        .otherwise("inside")
-    )
-    inside = F.when(reason.startswith("unreadable"), F.lit(None).cast("boolean")).otherwise(reason == "inside")
-    return inside, reason
-
-
-def glob_regex(pattern: str) -> str:
-    """A shell pattern (*, ?, [...]) as a regex of the whole string."""
-    import fnmatch
-
-    return fnmatch.translate(pattern).replace("\\z", "$").replace("\\Z", "$").replace("(?s:", "(?:")

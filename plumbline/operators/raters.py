@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.textual import folded
+
 #: What a reading may say; below so many compared claims a rate says little yet.
 READINGS, INFORMATIVE = ("yes", "no", "undetermined"), 20
 
@@ -16,8 +18,8 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def canonical_reader(name: Column) -> Column:
-    """Reader ids that differ by case or blanks alone are one reader (NFKC beyond ASCII: see functions.text)."""
-    return F.lower(F.trim(name))
+    """Reader ids that differ by case, blanks or compatibility forms alone are one reader."""
+    return F.trim(folded(name))
 
 
 def parse_answer(answer: Column) -> Column:
@@ -95,7 +97,3 @@ def restatement_check(sealed: DataFrame, restated: DataFrame, tiers: DataFrame,
     inside = F.contains(F.col("got"), F.col("want"))
     outcome = F.when(F.col("got").isNull() | (F.col("got") == ""), "unanswered").when(F.col("got") == F.col("want"), "faithful").when(inside & F.lit(not strict), "contained").otherwise("divergent")
     return met.select("id", outcome.alias("outcome"), F.when(outcome == "divergent", F.coalesce("tier", F.lit("notable"))).alias("severity"))
-
-
-def nth(rows: DataFrame, keys: list[str], order: str, name: str = "nth") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(order)))

@@ -5,12 +5,12 @@ A tape is rows (session, idx, req, resp); idx counts a session's calls from 1.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FINDING = "session string, verdict string, at long, side string"
-
 
 def occurrence(tape: DataFrame) -> DataFrame:
     """Adds `nth`: which of the session's calls with this request it is."""
@@ -53,72 +53,62 @@ def headline(findings: DataFrame) -> DataFrame:
 
 
 def align(agent: DataFrame, tool: DataFrame) -> DataFrame:
-    """Findings of an ordered alignment by request, one session at a time.
+    """(session, verdict, at, side): what keeps the two sides from being the same calls in the same order.
 
-    Where the requests differ, the nearer counterpart ahead decides which side
-    has calls of its own; calls left on both sides with one request were moved:
-    ALTERED. A session, which is one conversation, is held in one task.
+    Calls alike in request and response are counterparts, the first with the
+    first. Of these the fewest whose removal leaves one order on both sides were
+    moved: ALTERED at the agent's call. Of the calls left, those with one request
+    differ in their response: ALTERED, or MISSING on the side that has none. The
+    rest are MISSING on the other side.
     """
-
-    def one(key: tuple, a: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        rows = [(key[0], *f) for f in session_findings(list(a.sort_values("idx").itertuples(index=False)), list(t.sort_values("idx").itertuples(index=False)))]
-        return pd.DataFrame(rows, columns=["session", "verdict", "at", "side"])
-
-    cut = lambda x: x.select("session", "idx", "req", "resp").groupBy("session")
-    return cut(agent).cogroup(cut(tool)).applyInPandas(one, FINDING)
-
-
-def session_findings(a: list, t: list) -> list[tuple[str, int, str | None]]:
-    """(verdict, call, side that lacks something) of two ordered call lists."""
-    ahead_a, ahead_t = _places(a), _places(t)
-    found: list[tuple[str, int, str | None]] = []
-    spare_a, spare_t = [], []
-    i = j = 0
-    while i < len(a) and j < len(t):
-        x, y = a[i], t[j]
-        if x.req == y.req:
-            if x.resp != y.resp and not (x.resp is None and y.resp is None):
-                lacks = "agent" if x.resp is None else "tool" if y.resp is None else None
-                found.append(("MISSING" if lacks else "ALTERED", x.idx, lacks))
-            i, j = i + 1, j + 1
-            continue
-        to_a, to_t = _next(ahead_a, y.req, i), _next(ahead_t, x.req, j)
-        if to_a is None and to_t is None:
-            found.append(("ALTERED", x.idx, None))
-            i, j = i + 1, j + 1
-        elif to_t is None or (to_a is not None and to_a - i <= to_t - j):
-            spare_a += a[i:to_a]
-            i = to_a
-        else:
-            spare_t += t[j:to_t]
-            j = to_t
-    spare_a += a[i:]
-    spare_t += t[j:]
-    waiting: dict[str, list] = {}
-    for y in spare_t:
-        waiting.setdefault(y.req, []).append(y)
-    for x in spare_a:
-        if waiting.get(x.req):
-            waiting[x.req].pop(0)
-            found.append(("ALTERED", x.idx, None))
-        else:
-            found.append(("MISSING", x.idx, "tool"))
-    return found + [("MISSING", y.idx, "agent") for ys in waiting.values() for y in ys]
-
-
-def _places(calls: list) -> dict[str, list[int]]:
-    at: dict[str, list[int]] = {}
-    for i, c in enumerate(calls):
-        at.setdefault(c.req, []).append(i)
-    return at
-
-
-def _next(places: dict[str, list[int]], req: str, i: int) -> int | None:
-    from bisect import bisect_right
-
-    at = places.get(req, [])
-    k = bisect_right(at, i)
-    return at[k] if k < len(at) else None
+    nth = lambda t, *k: t.withColumn("nth", F.row_number().over(Window.partitionBy("session", *k).orderBy("idx")))
+    side = lambda t, x: t.select("session", "req", "nth", *[F.col(c).alias(f"{x}_{c}") for c in ("idx", "resp")])
+    a, t = (nth(x.select("session", "idx", "req", "resp"), "req", "resp") for x in (agent, tool))
+    alike = ["session", "req", "nth"]
+    both = side(a, "a").join(side(t, "t").withColumnsRenamed({c: f"_{c}" for c in alike}), (F.col("session") == F.col("_session")) & (F.col("req") == F.col("_req")) & (F.col("nth") == F.col("_nth")) & F.col("a_resp").eqNullSafe(F.col("t_resp")))
+    both = both.select("session", "a_idx", "t_idx")
+    left = nth(a.join(both.select("session", F.col("a_idx").alias("idx")), ["session", "idx"], "left_anti"), "req")
+    over = nth(t.join(both.select("session", F.col("t_idx").alias("idx")), ["session", "idx"], "left_anti"), "req")
+    rest = side(left, "a").join(side(over, "t"), alike, "full")
+    lacks = F.when(F.col("t_idx").isNull(), "tool").when(F.col("a_idx").isNull(), "agent").when(F.col("t_resp").isNull(), "tool").when(F.col("a_resp").isNull(), "agent")
+    found = rest.select("session", F.when(lacks.isNull(), "ALTERED").otherwise("MISSING").alias("verdict"), F.coalesce("a_idx", "t_idx").cast("long").alias("at"), lacks.alias("side"))
+    return found.unionAll(moved(both).select("session", F.lit("ALTERED").alias("verdict"), F.col("a_idx").cast("long").alias("at"), F.lit(None).cast("string").alias("side")))
+
+
+def moved(pairs: DataFrame) -> DataFrame:
+    """The fewest pairs (session, a_idx, t_idx) without which both sides have one order.
+
+    A session is cut where all pairs so far stand first on both sides; only
+    stretches of more than one pair, which hold the moves, are looked at whole.
+    """
+    by = lambda c: F.row_number().over(Window.partitionBy("session").orderBy(c))
+    ranked = pairs.select("*", by("a_idx").alias("a"), by("t_idx").alias("t"))
+    so_far = Window.partitionBy("session").orderBy("a")
+    ends = ranked.withColumn("ends", (F.max("t").over(so_far) == F.col("a")).cast("long"))
+    cut = ends.withColumn("stretch", F.sum("ends").over(so_far) - F.col("ends"))
+    several = cut.groupBy("session", "stretch").agg(F.count("*").alias("n")).where("n > 1").select("session", "stretch")
+
+    def out_of_order(stretch: pd.DataFrame) -> pd.DataFrame:
+        rows = stretch.sort_values("a", ignore_index=True)
+        kept = longest_rising(rows["t"].tolist())
+        return rows.drop(index=kept)[["session", "a_idx", "t_idx"]]
+
+    return cut.join(several, ["session", "stretch"]).groupBy("session", "stretch").applyInPandas(out_of_order, pairs.select("session", "a_idx", "t_idx").schema)
+
+
+def longest_rising(values: list[int]) -> list[int]:
+    """Places of a longest rising subsequence of different numbers."""
+    ends: list[int] = []  # place of the smallest end of each length
+    before: list[int] = []
+    for place, value in enumerate(values):
+        k = bisect_left(ends, value, key=values.__getitem__)
+        before.append(ends[k - 1] if k else -1)
+        ends[k : k + 1] = [place]
+    found, place = [], ends[-1] if ends else -1
+    while place >= 0:
+        found.append(place)
+        place = before[place]
+    return found[::-1]
 
 
 def check_pins(pins: DataFrame, tape: DataFrame) -> DataFrame:
@@ -132,18 +122,22 @@ def check_pins(pins: DataFrame, tape: DataFrame) -> DataFrame:
 def supersedes(rows: DataFrame) -> dict[str, DataFrame]:
     """Forks, resolvers and conflicts of rows (pos, id, supersedes array).
 
-    forks: ids that two rows or more supersede, with the last such row;
-    resolved: the forks that just one later row resolves, by superseding all
-    their claimants (two or more of them); conflicts: two resolvers of one fork
-    that name different sets.
+    forks: (old, claimant, last) for ids that two rows or more supersede, last
+    being the last such row; resolved: the forks that just one later row
+    resolves, by superseding all their claimants (two or more of them);
+    conflicts: a fork's first resolver, and the first of each other set of
+    claimants that a resolver names. Sets are compared by digests, and none is
+    gathered.
     """
     edges = rows.select("pos", "id", F.explode("supersedes").alias("old")).distinct()
-    forks = edges.groupBy("old").agg(F.array_sort(F.collect_set("id")).alias("claimants"), F.max("pos").alias("last"), F.countDistinct("id").alias("n")).where("n >= 2")
+    forks = edges.groupBy("old").agg(F.max("pos").alias("last"), F.countDistinct("id").alias("n")).where("n >= 2")
     # a resolver names at least two claimants, so it meets the fork on one of them
-    members = forks.select("old", "claimants", "last", F.explode("claimants").alias("claimant"))
+    members = forks.join(edges.select("old", F.col("id").alias("claimant")).distinct(), "old")
     named = members.join(edges.select(F.col("pos").alias("rpos"), F.col("id").alias("rid"), F.col("old").alias("claimant")), "claimant").where("rpos > last")
-    covers = named.groupBy("old", "rpos", "rid").agg(F.countDistinct("claimant").alias("hit"), F.max(F.size("claimants")).alias("size"), F.array_sort(F.collect_set("claimant")).alias("set")).where("hit >= 2")
-    whole = covers.where("hit = size").groupBy("old").agg(F.count("*").alias("n"), F.min("rid").alias("resolver")).where("n = 1")
-    a, b = covers.alias("a"), covers.alias("b")
-    clash = a.join(b, F.col("a.old") == F.col("b.old")).where("a.rpos < b.rpos and a.set <> b.set").select(F.col("a.old").alias("old"), F.col("a.rid").alias("first"), F.col("b.rid").alias("second"))
-    return {"forks": forks, "resolved": whole.select("old", "resolver"), "conflicts": clash}
+    one = F.xxhash64("claimant")
+    covers = named.groupBy("old", "rpos", "rid", "n").agg(F.count("*").alias("hit"), F.struct(F.bit_xor(one), F.sum(one.cast("decimal(20,0)"))).alias("set")).where("hit >= 2")
+    whole = covers.where("hit = n").groupBy("old").agg(F.count("*").alias("k"), F.min("rid").alias("resolver")).where("k = 1")
+    sets = covers.groupBy("old", "set").agg(F.min(F.struct("rpos", "rid")).alias("by"))
+    first = sets.groupBy("old").agg(F.min("by").alias("first"))
+    clash = sets.join(first, "old").where("by <> first").select("old", F.col("first.rid").alias("first"), F.col("by.rid").alias("second"))
+    return {"forks": members.select("old", "claimant", "last"), "resolved": whole.select("old", "resolver"), "conflicts": clash}

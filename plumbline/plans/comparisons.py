@@ -89,7 +89,7 @@ def rc_align(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rc_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, _ = tape_pair(spark, sf_dir)
     e = F.col("event_id")
-    findings = calls.where("event_id % 7 = 0").select("session", F.when(e % 2 == 0, "ALTERED").otherwise("MISSING").alias("verdict"), F.when(e % 3 != 0, F.floor(F.col("idx") / 10)).alias("at"), F.when(e % 5 < 2, "agent").otherwise("tool").alias("side"))
+    findings = calls.select("session", F.when(e % 2 == 0, "ALTERED").otherwise("MISSING").alias("verdict"), F.when(e % 3 != 0, F.floor(F.col("idx") / 10)).alias("at"), F.when(e % 5 < 2, "agent").otherwise("tool").alias("side"))
     return tapes.headline(findings)
 
 
@@ -101,7 +101,7 @@ def rc_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gr_forks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tapes.supersedes(edges(spark, sf_dir))["forks"].select("old", F.array_join("claimants", ",").alias("claimants"), "last")
+    return tapes.supersedes(edges(spark, sf_dir))["forks"]
 
 
 def gr_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,10 @@ def rd_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rd_citation_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("ledger"), F.col("turn").alias("line"), "role", F.md5(F.substring("text", 1, 2)).alias("sha"))
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("ledger"), F.col("turn").alias("line"), "role", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    # an answer quotes the turn before it word for word now and then, as its criterion
+    before = c.select("ledger", (F.col("line") + 1).alias("line"), F.col("sha").alias("quoted"))
+    c = c.join(before, ["ledger", "line"], "left").withColumn("sha", F.when(F.col("line") % 3 == 1, F.coalesce("quoted", "sha")).otherwise(F.col("sha"))).drop("quoted")
     return raters.citation_order(c.where("role = 'user'"), c.where("role <> 'user'"))
 
 
@@ -192,8 +195,8 @@ def ct_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By grade: the shares of faithful answers and of agreement with what was expected."""
     found = ct_verify(spark, sf_dir).withColumn("grade", F.concat(F.lit("D"), (F.col("id") % 6).cast("string"))).withColumn("faithful", F.col("outcome") == "faithful").withColumn("expected", F.col("id") % 4 != 0)
     same = (F.col("faithful") == F.col("expected")).cast("int")
-    wrong = F.array_sort(F.collect_list(F.when(same == 0, F.col("id"))))
-    return found.groupBy("grade").agg(F.count("*").alias("n"), F.round(F.avg(F.col("faithful").cast("int")), 4).alias("faithful_rate"), F.round(F.avg(same), 4).alias("agreement"), F.element_at(wrong, 1).alias("first_disagreeing"))
+    wrong = F.min(F.when(same == 0, F.col("id")))
+    return found.groupBy("grade").agg(F.count("*").alias("n"), F.round(F.avg(F.col("faithful").cast("int")), 4).alias("faithful_rate"), F.round(F.avg(same), 4).alias("agreement"), wrong.alias("first_disagreeing"))
 
 
 def gd_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -211,7 +214,7 @@ CITATION = "[0-9]+ [A-Z][a-z]+ [0-9]+"
 
 def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with references such as `12 Part 7`, drawn from the line items."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3")
+    li = table(spark, sf_dir, "lineitem")
     cite = F.concat(F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") == 1, " Part ").otherwise(" Supp "), F.col("l_partkey").cast("string"))
     return li.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_join(F.array_sort(F.collect_list(cite)), "; see ").alias("text"))
 
@@ -242,8 +245,10 @@ EDGES = """WITH p AS (SELECT p_partkey AS k FROM part),
 rows AS (SELECT k AS pos, 'r' || k AS id, CASE WHEN k % 10 = 2 THEN ['r' || (k - 1)] WHEN k % 10 IN (3, 4) THEN ['r' || (k - k % 10 + 1)]
   WHEN k % 10 = 6 AND k % 20 < 10 THEN ['r' || (k - 4), 'r' || (k - 3), 'r' || (k - 2)] WHEN k % 10 = 7 AND k % 30 < 10 THEN ['r' || (k - 5), 'r' || (k - 4)] END AS s FROM p),
 e AS (SELECT pos, id, unnest(s) AS old FROM rows),
-forks AS (SELECT old, list_sort(list(DISTINCT id)) AS claimants, max(pos) AS last FROM e GROUP BY 1 HAVING count(DISTINCT id) >= 2),
-cov AS (SELECT f.old, r.pos, r.id, f.claimants, list_sort(list_distinct(list_intersect(f.claimants, r.s))) AS hit FROM forks f JOIN rows r ON r.pos > f.last AND len(list_intersect(f.claimants, r.s)) >= 2)"""
+forks AS (SELECT old, count(DISTINCT id) AS n, max(pos) AS last FROM e GROUP BY 1 HAVING count(DISTINCT id) >= 2),
+members AS (SELECT DISTINCT f.old, f.last, f.n, e.id AS claimant FROM forks f JOIN e ON e.old = f.old),
+named AS (SELECT m.old, m.n, r.pos, r.id, m.claimant FROM members m JOIN e r ON r.old = m.claimant WHERE r.pos > m.last),
+cov AS (SELECT old, pos, id, max(n) AS n, list_sort(list(DISTINCT claimant)) AS hit FROM named GROUP BY 1, 2, 3 HAVING count(DISTINCT claimant) >= 2)"""
 RATERS = """WITH a AS (SELECT doc_id AS claim_id, 'c' AS t, 'k1' AS k, 'rater a' AS r, CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS v FROM labels),
 b AS (SELECT doc_id AS claim_id, CASE WHEN doc_id % 10 = 0 THEN 'd' ELSE 'c' END AS t, CASE WHEN doc_id % 10 = 2 THEN 'k2' ELSE 'k1' END AS k, CASE WHEN doc_id % 10 = 4 THEN 'rater a' ELSE 'rater b' END AS r, CASE WHEN n_chars > 1000 THEN 'yes' ELSE 'no' END AS v FROM documents WHERE doc_id % 4 <> 1),
 s AS (SELECT coalesce(a.claim_id, b.claim_id) AS claim_id, CASE WHEN a.v IS NULL OR b.v IS NULL THEN 'MISSING' WHEN a.t <> b.t THEN 'COULD_NOT_LOOK_TEXT' WHEN a.k <> b.k THEN 'COULD_NOT_LOOK_CRITERION' WHEN a.r = b.r THEN 'COULD_NOT_LOOK_SAME_READER' WHEN a.v = b.v THEN 'AGREED' ELSE 'DISAGREED' END AS status FROM a FULL JOIN b ON a.claim_id = b.claim_id)"""
@@ -255,7 +260,7 @@ f AS (SELECT coalesce(b.deal, s.deal) AS deal, coalesce(b.step, s.step) AS step,
   FROM bn b FULL JOIN sn s ON b.deal = s.deal AND b.nth = s.nth)"""
 VERIFY = """WITH c AS (SELECT c_custkey AS id, c_name AS value, CASE WHEN c_custkey % 9 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN 'it is ' || c_name WHEN c_custkey % 7 = 0 THEN 'no' ELSE c_name END AS got, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment END AS tier FROM customer),
 o AS (SELECT id, tier, CASE WHEN got IS NULL THEN 'unanswered' WHEN got = value THEN 'faithful' WHEN contains(got, value) THEN 'contained' ELSE 'divergent' END AS outcome FROM c)"""
-CITED = """WITH l AS (SELECT l_orderkey AS doc_id, CAST(l_suppkey AS VARCHAR) || CASE WHEN l_linenumber = 1 THEN ' Part ' ELSE ' Supp ' END || CAST(l_partkey AS VARCHAR) AS c FROM lineitem WHERE l_linenumber <= 3),
+CITED = """WITH l AS (SELECT l_orderkey AS doc_id, CAST(l_suppkey AS VARCHAR) || CASE WHEN l_linenumber = 1 THEN ' Part ' ELSE ' Supp ' END || CAST(l_partkey AS VARCHAR) AS c FROM lineitem),
 t AS (SELECT doc_id, string_agg(c, '; see ' ORDER BY c) AS text FROM l GROUP BY 1), x AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+ [A-Z][a-z]+ [0-9]+')) AS cite FROM t)"""
 
 ORACLE = {
@@ -267,20 +272,22 @@ SELECT session, verdict, count(*) AS calls FROM j GROUP BY 1, 2""",
     "rc_gaps": CALLS + """, p AS (SELECT session, event_id AS pos, CASE WHEN event_id % 41 = 0 THEN idx + 3 WHEN event_id % 43 = 0 THEN greatest(idx - 2, 1) ELSE idx END AS idx FROM calls),
 h AS (SELECT *, coalesce(max(idx) OVER (PARTITION BY session ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS high, row_number() OVER (PARTITION BY session, idx ORDER BY pos) > 1 AS again FROM p),
 f AS (SELECT session, pos, idx, CASE WHEN idx > high + 1 THEN 'gap' WHEN again THEN 'repeat' WHEN idx <= high THEN 'out_of_order' END AS finding FROM h) SELECT * FROM f WHERE finding IS NOT NULL""",
-    "rc_headline": CALLS + """, f AS (SELECT session, CASE WHEN event_id % 2 = 0 THEN 'ALTERED' ELSE 'MISSING' END AS verdict, CASE WHEN event_id % 3 <> 0 THEN idx // 10 ELSE 0 END AS "at", CASE WHEN event_id % 5 < 2 THEN 'agent' ELSE 'tool' END AS side FROM calls WHERE event_id % 7 = 0),
+    "rc_headline": CALLS + """, f AS (SELECT session, CASE WHEN event_id % 2 = 0 THEN 'ALTERED' ELSE 'MISSING' END AS verdict, CASE WHEN event_id % 3 <> 0 THEN idx // 10 ELSE 0 END AS "at", CASE WHEN event_id % 5 < 2 THEN 'agent' ELSE 'tool' END AS side FROM calls),
 r AS (SELECT *, rank() OVER (PARTITION BY session ORDER BY "at", verdict) AS k FROM f)
 SELECT session, CAST(min("at") AS BIGINT) AS "at", min(verdict) AS verdict, CASE WHEN count(DISTINCT side) > 1 THEN 'both' ELSE min(side) END AS side FROM r WHERE k = 1 GROUP BY 1""",
     "rc_pins": CALLS + """, t AS (SELECT session, idx, md5(CAST(event_id AS VARCHAR)) AS chain FROM calls), n AS (SELECT session, max(idx) AS n FROM t GROUP BY 1),
 p AS (SELECT session, CASE WHEN idx % 50 = 0 THEN idx + 40 ELSE idx END AS rows, chain FROM t WHERE idx % 25 = 0)
 SELECT p.session, p.rows, CASE WHEN n.n < p.rows THEN 'short' WHEN t.chain = p.chain THEN 'agrees' ELSE 'differs' END AS finding FROM p JOIN n USING (session) LEFT JOIN t ON t.session = p.session AND t.idx = p.rows""",
-    "gr_forks": EDGES + " SELECT old, array_to_string(claimants, ',') AS claimants, last FROM forks",
-    "gr_resolved": EDGES + " SELECT old, min(id) AS resolver FROM cov WHERE len(hit) = len(claimants) GROUP BY 1 HAVING count(*) = 1",
-    "gr_conflicts": EDGES + " SELECT a.old, a.id AS first, b.id AS second FROM cov a JOIN cov b ON a.old = b.old AND a.pos < b.pos AND a.hit <> b.hit",
+    "gr_forks": EDGES + " SELECT old, claimant, last FROM members",
+    "gr_resolved": EDGES + " SELECT old, min(id) AS resolver FROM cov WHERE len(hit) = n GROUP BY 1 HAVING count(*) = 1",
+    "gr_conflicts": EDGES + """, s AS (SELECT old, hit, arg_min(id, pos) AS id, min(pos) AS pos FROM cov GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER w AS k, first_value(id) OVER w AS f FROM s WINDOW w AS (PARTITION BY old ORDER BY pos, id)) SELECT old, f AS first, id AS second FROM r WHERE k > 1""",
     "rd_compare": RATERS + " SELECT claim_id, status FROM s",
     "rd_summary": RATERS + """ SELECT count(*) AS claims, count(*) FILTER (status = 'AGREED') AS agreed, count(*) FILTER (status = 'DISAGREED') AS disagreed, count(*) FILTER (status = 'MISSING') AS missing, count(*) FILTER (status LIKE 'COULD%') AS could_not_look,
   round(count(*) FILTER (status = 'AGREED') / CAST(count(*) FILTER (status IN ('AGREED', 'DISAGREED')) AS DOUBLE), 6) AS fraction, count(*) FILTER (status IN ('AGREED', 'DISAGREED')) < 20 AS not_yet_informative FROM s""",
     "rd_latest": "SELECT CAST(user_id AS VARCHAR) || '/' || event_type AS claim_id, max(event_id) AS event_id, last(props ORDER BY event_id) AS props FROM events GROUP BY 1",
-    "rd_citation_order": """WITH c AS (SELECT conv_id AS ledger, turn AS line, role, md5(substr(text, 1, 2)) AS sha FROM conversations)
+    "rd_citation_order": """WITH t AS (SELECT conv_id AS ledger, turn AS line, role, sha256(coalesce(text, '')) AS own FROM conversations),
+c AS (SELECT t.ledger, t.line, t.role, CASE WHEN t.line % 3 = 1 THEN coalesce(p.own, t.own) ELSE t.own END AS sha FROM t LEFT JOIN t p ON p.ledger = t.ledger AND p.line = t.line - 1)
 SELECT ledger, line, sha, exists(SELECT 1 FROM c k WHERE k.role = 'user' AND k.ledger = c.ledger AND k.sha = c.sha AND k.line < c.line) AS cited FROM c WHERE role <> 'user'""",
     "rd_parse": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE 'undetermined' END AS reading FROM documents",
     "dl_compare": SIDES + " SELECT deal, step, nth, finding, fields FROM f WHERE finding <> 'same'",
