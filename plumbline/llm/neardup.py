@@ -139,13 +139,15 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     smallest doc_id, null ids last; of rows with that id the first by its text's
     hash and length, and of rows that are alike in all this any one.
     """
+    taken = {c.lower() for c in docs.columns}
+    at, n = (next(f"{c}_{i}" for i in range(len(taken) + 1) if f"{c}_{i}" not in taken) for c in ("place", "n"))
     place = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.length(text).alias("length"))
-    rows = materialize(docs.withColumn("_place", place).withColumn("_n", F.monotonically_increasing_id()))
-    plain = rows.select(F.col("_place").alias("place"), F.col("_n").alias("n"), F.col(text).alias("text"))
+    rows = materialize(docs.withColumn(at, place).withColumn(n, F.monotonically_increasing_id()))
+    plain = rows.select(F.col(at).alias("place"), F.col(n).alias("n"), F.col(text).alias("text"))
     found = materialize(sets(plain, common_shingles(plain, width), width))
     nodes = materialize(found.groupBy("sig").agg(F.min(F.struct("place", "n")).alias("first"), F.min("size").alias("size"), F.first("prefix").alias("prefix")))
     nodes = nodes.withColumn("node", F.col("first.n"))
     roots = components(links(nodes, plain, width))
     joined = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    kept = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("_n"))
-    return rows.join(kept, "_n", "left_semi").select(docs.columns)
+    kept = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias(n))
+    return rows.join(kept, n, "left_semi").select(docs.columns)

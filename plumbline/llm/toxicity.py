@@ -27,22 +27,49 @@ from plumbline.llm.common import materialize, pieces, remainder, small_batches,
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 
-#: Seed lexicons: common insults, by language.
-LEXICONS = {
-    "en": "idiot moron stupid dumb loser scum trash pathetic worthless disgusting clown imbecile fool jerk creep vermin bastard",
-    "de": "idiot trottel dummkopf abschaum versager arschloch widerlich drecksack",
-    "fr": "idiot imbécile crétin connard salaud abruti ordure débile",
-    "es": "idiota imbécil estúpido cabrón escoria basura asqueroso inútil",
-}
-#: Patterns on lower-cased text, but for the last two, which see it as it is.
-PATTERNS = [
-    r"\byou(?:'re| are)? (?:a |an |such |so )*(?:" + "|".join(LEXICONS["en"].split()) + r")\b",
-    r"\b(?:shut up|go to hell|drop dead|kill yourself|hate you)\b",
-    r"\b(?:halt die klappe|ta gueule|cállate)\b",
-    r"!{3,}",
-    r"(?:\b[A-Z]{4,}\b[^\w]+){4}",
+#: Seed lexicons, each a voter: common insults by language and by what they are aimed at.
+LEXICONS = [
+    "idiot idiots moron morons imbecile stupid dumb fool fools dimwit halfwit",
+    "loser losers worthless pathetic useless failure nobody",
+    "scum trash garbage filth vermin parasite parasites rat rats",
+    "disgusting revolting repulsive ugly gross",
+    "creep jerk bastard clown coward liar hypocrite",
+    "idiot idioten trottel dummkopf depp schwachkopf",
+    "abschaum versager nichtsnutz ungeziefer missgeburt",
+    "arschloch drecksack mistkerl hurensohn",
+    "widerlich ekelhaft abstoßend jämmerlich erbärmlich",
+    "idiot imbécile crétin débile abruti",
+    "connard salaud enfoiré ordure",
+    "minable pathétique dégoûtant répugnant",
+    "vermine parasite déchet racaille",
+    "idiota imbécil estúpido tonto bobo",
+    "cabrón escoria basura parásito",
+    "asqueroso repugnante patético inútil",
 ]
-RAW_FROM = 3
+#: Phrases, each list a voter.
+PHRASES = [
+    ["shut up", "get lost", "go away", "piss off"],
+    ["go to hell", "drop dead", "kill yourself", "nobody likes you", "hate you", "hope you die", "hope you fail", "hope you suffer"],
+    ["halt die klappe", "halt's maul", "verpiss dich", "hau ab"],
+    ["ich hasse dich", "geh sterben", "fahr zur hölle"],
+    ["ta gueule", "ferme-la", "va te faire", "casse-toi"],
+    ["je te déteste", "va mourir", "va en enfer"],
+    ["cállate", "lárgate", "vete al infierno", "vete al diablo"],
+    ["te odio", "muérete"],
+]
+_INSULT = "|".join(sorted({w for v in LEXICONS for w in v.split()}))
+#: Patterns around an insult, each a voter; looked for where a lexicon fires.
+ADDRESSED = [
+    rf"\byou(?:'re| are)? (?:a |an |all |such |so |just )*(?:{_INSULT})\b",
+    rf"\b(?:du|sie|ihr) (?:bist|sind|seid)? ?(?:ein |eine |so |nur )*(?:{_INSULT})\b",
+    rf"\b(?:tu es|vous êtes|t'es) (?:un |une |des |si |trop )*(?:{_INSULT})\b",
+    rf"\b(?:eres|sois|son) (?:un |una |unos |tan )*(?:{_INSULT})\b",
+    rf"\b(?:{_INSULT})\b.{{0,40}}\b(?:{_INSULT})\b",
+    rf"\b(?:{_INSULT})\s*!",
+]
+#: Patterns of tone on the text as it is, each a voter.
+TONE = [r"!{3,}", r"(?:\b[A-Z]{4,}\b[^\w]+){4}"]
+FIXED = len(LEXICONS) + len(PHRASES) + len(ADDRESSED) + len(TONE)
 MAX_VOTERS = 60
 
 
@@ -65,21 +92,33 @@ def terms_of(low: str, lengths: tuple[int, ...] = PREFIXES) -> set[str]:
 
 
 class Voters:
-    """Votes of one text as the bits of an integer."""
+    """Votes of one text as the bits of an integer: lexicons, phrases, addressed insults, tone, terms."""
 
     def __init__(self, induced: list[str]):
-        self.lexicons = [set(v.split()) for v in LEXICONS.values()]
-        self.patterns = [re.compile(p) for p in PATTERNS]
-        self.induced = {t: i + len(self.lexicons) + len(self.patterns) for i, t in enumerate(induced)}
+        self.lexicons: dict[str, int] = {}
+        for i, v in enumerate(LEXICONS):
+            for w in v.split():
+                self.lexicons[w] = self.lexicons.get(w, 0) | 1 << i
+        self.phrases = [(p, re.compile(rf"\b{re.escape(p)}\b"), len(LEXICONS) + i) for i, v in enumerate(PHRASES) for p in v]
+        begin = len(LEXICONS) + len(PHRASES)
+        self.addressed = [(re.compile(p), begin + i) for i, p in enumerate(ADDRESSED)]
+        self.tone = [(re.compile(p), begin + len(ADDRESSED) + i) for i, p in enumerate(TONE)]
+        self.induced = {t: i + FIXED for i, t in enumerate(induced)}
         self.lengths = tuple(sorted({len(t) - 1 for t in induced if t.endswith("*")}))
-        self.count = len(self.lexicons) + len(self.patterns) + len(induced)
+        self.count = FIXED + len(induced)
 
     def votes(self, text: str, low: str, terms: set[str]) -> int:
         mask = 0
-        for i, lexicon in enumerate(self.lexicons):
-            mask |= (not lexicon.isdisjoint(terms)) << i
-        for i, p in enumerate(self.patterns):
-            mask |= (p.search(text if i >= RAW_FROM else low) is not None) << (i + len(self.lexicons))
+        for w in self.lexicons.keys() & terms:
+            mask |= self.lexicons[w]
+        if mask:
+            for p, bit in self.addressed:
+                mask |= (p.search(low) is not None) << bit
+        for plain, p, bit in self.phrases:
+            if plain in low:
+                mask |= (p.search(low) is not None) << bit
+        for p, bit in self.tone:
+            mask |= (p.search(text) is not None) << bit
         for t in self.induced.keys() & terms:
             mask |= 1 << self.induced[t]
         return mask
@@ -223,12 +262,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30
     return w[:-1], float(w[-1])
 
 
-def learn(docs: DataFrame, labels: DataFrame, fold: int = 5, sample_rows: int = 8000, features: int = 1200, rounds: int = 6, anchor: float = 1.0) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, fold: int = 5, sample_rows: int = 8000, features: int = 1200, rounds: int = 6, anchor: float = 1.0, sample_docs: int = 8000) -> Model:
     """Fit voters, label model and classifier.
 
-    sample_rows bounds the labelled rows that voters and classifier are fitted
-    on; the label model's votes and moments cover every document. anchor: mass
-    of the labelled rows in the label model, next to all documents. Without
+    sample_rows bounds the labelled rows that choose the term voters and set
+    the classes' balance; the label model's votes and moments cover every
+    document. The classifier is fitted on posterior labels alone: of those rows
+    and of about `sample_docs` different texts outside of the held-out fold,
+    drawn by a hash of the text, with no label needed. anchor: mass of the
+    labelled rows in the label model, next to all documents. Without
     labelled rows of both classes the lexicon and pattern voters stand alone.
     """
     sample = labelled_sample(docs, labels, fold, sample_rows)
@@ -238,7 +280,7 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 5, sample_rows: int =
     found = distinctive(counts, n1, n0).orderBy(F.desc("gain"), "term").limit(features).collect() if n1 and n0 else []
     best = [r["term"] for r in found]
     alone = {(r["term"][: PREFIXES[0]], r["toxic"], r["clean"]): r["term"] for r in reversed(found)}  # nested terms on the same rows vote once
-    voters = Voters([t for t in best if t in set(alone.values())][: MAX_VOTERS - len(LEXICONS) - len(PATTERNS)])
+    voters = Voters([t for t in best if t in set(alone.values())][: MAX_VOTERS - FIXED])
     known = [(r["toxic"], set(r["terms"]), r["mask"]) for r in _sample_rows(sample, best, voters).collect()]
     votes = bits(np.array([k[2] for k in known], np.int64), voters.count)
     y = np.array([k[0] for k in known], float)
@@ -256,17 +298,32 @@ def learn(docs: DataFrame, labels: DataFrame, fold: int = 5, sample_rows: int =
     for _ in range(rounds if total else 0):
         fires, shares, rho = maximize(fixed + expectation(patterns, voters.count, (scale, fires, shares)), voters.count)
         scale = calibrate(votes, y, balance, fires, shares)
-    target = posterior(votes, scale, fires, shares)
-    place = {t: i for i, t in enumerate(best)}
-    x = np.zeros((len(y), len(best) + voters.count), np.float32)
+    rows, weight = [(terms, v) for (_, terms, _), v in zip(known, votes)], balance
     if n1 and n0:
-        for i, (_, terms, _) in enumerate(known):
-            x[i, [place[t] for t in terms]] = 1
-    x[:, len(best) :] = votes
-    weights, bias = _logistic(x, target, balance)
+        drawn = _sample_rows(unlabelled_sample(docs, fold, sample_docs, total), best, voters).collect()
+        more = bits(np.array([r["mask"] for r in drawn], np.int64), voters.count)
+        rows += [(r["terms"], v) for r, v in zip(drawn, more)]
+        weight = np.concatenate([balance, np.ones(len(drawn))])
+    else:
+        rows = [((), v) for v in votes]
+    every = np.array([v for _, v in rows]).reshape(len(rows), voters.count)
+    target = posterior(every, scale, fires, shares)
+    place = {t: i for i, t in enumerate(best)}
+    x = np.zeros((len(rows), len(best) + voters.count), np.float32)
+    for i, (terms, _) in enumerate(rows):
+        x[i, [place[t] for t in terms]] = 1
+    x[:, len(best) :] = every
+    weights, bias = _logistic(x, target, weight)
     return Model(best, list(voters.induced), weights, bias, fires, rho)
 
 
+def unlabelled_sample(docs: DataFrame, fold: int, rows: int, total: float) -> DataFrame:
+    """(toxic, text) of about `rows` different texts, of 2 * rows at most; toxic is 0 and means nothing."""
+    share = int((1 << 30) * min(1.0, rows / max(1.0, total)))
+    usable = docs.where(remainder(F.col("doc_id"), fold) != 0).select("text").where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share))
+    return usable.groupBy("text").agg(F.lit(0).alias("toxic")).limit(2 * rows).select("toxic", "text")
+
+
 def _label_share(labels: DataFrame, fold: int, default: float) -> float:
     """The share of toxic rows among the training rows' labels."""
     r = labels.where(F.col("toxic").isin(0, 1)).where(remainder(F.col("doc_id"), fold) != 0).agg(F.avg("toxic")).first()[0]

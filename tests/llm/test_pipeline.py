@@ -40,3 +40,17 @@ def test_stages_one_by_one(spark):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
     full = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"))
     assert full.where("n != end or n > 1024").count() == 0
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """The whole pipeline on null ids and texts, repeated rows, an extra column, and on empty tables."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("labels", "benchmark"))
+    odd = docs.limit(60).unionByName(docs.limit(3)).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    odd = odd.withColumn("row_0", F.lit("x")).withColumn("n_0", F.lit(1)).withColumn("place_0", F.lit(1))
+    for name, d in (("odd", odd), ("empty", odd.limit(0))):
+        d.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        bench.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        rows = P.run(spark, f"{tmp_path}/{name}").collect()
+        assert (len(rows) > 20) == (name == "odd") and all(r.length <= 1024 for r in rows)

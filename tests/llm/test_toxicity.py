@@ -29,6 +29,35 @@ def test_held_out_rows(spark):
     assert share[0] < 0.01 and share[1] > 0.8
 
 
+def test_many_voters_stand_without_labels():
+    assert toxicity.FIXED >= 30 and toxicity.MAX_VOTERS <= 63
+    votes = toxicity.Voters([])
+    low = "you are such an idiot! halt die klappe"
+    mask = votes.votes(low, low, toxicity.terms_of(low))
+    assert bin(mask).count("1") >= 4 and votes.votes("fine words", "fine words", {"fine", "words"}) == 0
+
+
+def test_what_the_label_model_adds(spark):
+    """Ablation: two voters that repeat one weak sign outvote a good voter by count, but not in the label model."""
+    rng = np.random.default_rng(8)
+    y = rng.random(30000) < 0.3
+    weak = np.where(rng.random(len(y)) < 0.75, y, ~y)
+    good = np.where(rng.random(len(y)) < 0.97, y, ~y)
+    votes = np.stack([weak, weak, good], 1).astype(float)
+    known = slice(0, 300)  # few labels; the rest of the rows have none
+    fixed = toxicity.moments(votes[known], np.full(300, 10.0), y[known].astype(float))
+    fires, shares, _ = toxicity.maximize(fixed, 3)
+    ones = np.ones(300)
+    scale = toxicity.calibrate(votes[known], y[known].astype(float), ones, fires, shares)
+    for _ in range(6):
+        p = toxicity.posterior(votes, scale, fires, shares)
+        fires, shares, _ = toxicity.maximize(fixed + toxicity.moments(votes, np.ones(len(y)), p), 3)
+        scale = toxicity.calibrate(votes[known], y[known].astype(float), ones, fires, shares)
+    right = ((toxicity.posterior(votes, scale, fires, shares) > 0.5) == y).mean()
+    by_count = ((votes.sum(1) > 1) == y).mean()
+    assert right > 0.95 and by_count < 0.9
+
+
 def test_odd_rows(spark):
     rng = np.random.default_rng(3)
     words = [f"plain{i}" for i in range(50)]
