@@ -2,13 +2,17 @@
 
 Every stage but the last returns rows of documents with all their columns and
 drops the rows it decides against; the last packs what is left.
+
+Null texts go in the first stage, having no letter. Null ids are ids like any
+other, repeated rows are copies of which one stays, other columns are kept as
+they are, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, langid, neardup, packing, toxicity
+from plumbline.llm import decontaminate, langid, neardup, packing, simhash, toxicity
 from plumbline.llm.common import materialize, read
 
 
@@ -23,8 +27,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles."""
-    return neardup.keep_first(docs)
+    """Keeps one document of each group that SimHash links, and of what is left of each group alike in 0.8 of its shingles.
+
+    Fingerprints of five-word shingles with at most two differing bits find
+    copies; texts with a Jaccard similarity of 0.8 differ in some ten bits, out
+    of reach of Hamming balls, so the exact join over the same shingles follows.
+    """
+    return neardup.keep_first(simhash.keep_first(docs, width=5))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
