@@ -11,7 +11,8 @@ by hash, with shingles that are common in a sample at the end, so the sample
 bears on the cost alone. Of a shingle's texts each first meets the leader; then,
 where these links leave more than one group, the texts outside of its largest
 group meet all texts of other groups, as far as enough shingles stand behind the
-shared one in both. No shingle has a cap, and every candidate
+shared one in both and as their parity bits, of which each shingle toggles one,
+are close enough to belong to similar sets. No shingle has a cap, and every candidate
 is settled by its whole sets.
 """
 
@@ -32,6 +33,7 @@ from plumbline.llm.simhash import _hashes
 
 SIMILAR = (4, 5)  # a fraction
 SAMPLE, COMMON = 5_000, 1e-3
+BITS = 1024
 
 
 def shingles(text: bytes, width: int = 5) -> np.ndarray:
@@ -46,6 +48,11 @@ def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([found[~late], found[late]])[: n + (-SIMILAR[0] * n // SIMILAR[1]) + 1] if n else found
 
 
+def parity(found: np.ndarray) -> bytes:
+    """BITS bits, each toggled by the shingles that fall on it: two sets differ in at least as many shingles as these in bits."""
+    return np.packbits(np.bincount(found & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both * SIMILAR[1] >= SIMILAR[0] * (len(a) + len(b) - both)
@@ -68,7 +75,7 @@ def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def sets(rows: DataFrame, common: np.ndarray, width: int) -> DataFrame:
-    """(place, n, sig, size, prefix) of rows (place, n, text)."""
+    """(place, n, sig, size, prefix, bits) of rows (place, n, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", max_bytes=8 << 20):
@@ -77,11 +84,12 @@ def sets(rows: DataFrame, common: np.ndarray, width: int) -> DataFrame:
                 pa.array([xxh3_128_digest(s.tobytes()) for s in found], pa.binary()),
                 pa.array([len(s) for s in found], pa.int32()),
                 pa.array([prefix(s, common) for s in found], pa.list_(pa.int64())),
+                pa.array([np.frombuffer(parity(s), np.int64) for s in found], pa.list_(pa.int64())),
             ]
             keep = [batch.column(batch.schema.get_field_index(k)) for k in ("place", "n")]
-            yield pa.RecordBatch.from_arrays([*keep, *new], names=["place", "n", "sig", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([*keep, *new], names=["place", "n", "sig", "size", "prefix", "bits"])
 
-    schema = T.StructType([rows.schema["place"], rows.schema["n"]]).add("sig", T.BinaryType()).add("size", T.IntegerType()).add("prefix", T.ArrayType(T.LongType()))
+    schema = T.StructType([rows.schema["place"], rows.schema["n"]]).add("sig", T.BinaryType()).add("size", T.IntegerType()).add("prefix", T.ArrayType(T.LongType())).add("bits", T.ArrayType(T.LongType()))
     return rows.select("place", "n", "text").transform(small_batches).mapInArrow(run, schema)
 
 
@@ -111,6 +119,12 @@ def _close(x: str, y: str) -> Column:
     return behind * sum(SIMILAR) >= (F.col(f"{x}_size") + F.col(f"{y}_size")) * SIMILAR[0]
 
 
+def _alike(x: str, y: str) -> Column:
+    """Whether two sets can be similar by their parity bits: similar ones differ in few shingles, so in few bits."""
+    apart = sum(F.bit_count(F.get(f"{x}_bits", F.lit(i)).bitwiseXOR(F.get(f"{y}_bits", F.lit(i)))) for i in range(BITS // 64))
+    return apart * sum(SIMILAR) <= (F.col(f"{x}_size") + F.col(f"{y}_size")) * (SIMILAR[1] - SIMILAR[0])
+
+
 def links(nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """Pairs (a, b) of nodes (node, size, prefix) that connect all similar ones, directly or over others."""
     at = nodes.select("node", "size", F.posexplode("prefix").alias("at", "h"))
@@ -124,10 +138,10 @@ def links(nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     member = materialize(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     groups = member.groupBy("h", "root").agg(F.count("*").alias("k"))
     split = groups.groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1").select("h", "most")
-    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "size", "at", "root")]
-    left = member.join(split, "h").where("root <> most").select("h", *side("x"))
-    right = member.join(split, "h").select("h", *side("y"))
-    rest = left.join(right, "h").where((F.col("x_root") != F.col("y_root")) & _close("x", "y"))
+    side = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("node", "size", "at", "root", "bits")]
+    apart = materialize(member.join(split, "h").join(nodes.select("node", "bits"), "node"))
+    left, right = apart.where("root <> most").select("h", *side("x")), apart.select("h", *side("y"))
+    rest = left.join(right, "h").where((F.col("x_root") != F.col("y_root")) & _close("x", "y") & _alike("x", "y"))
     rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
     return first.unionAll(verified(materialize(rest.join(tried, ["a", "b"], "left_anti")), rows, width))
 
@@ -145,7 +159,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     rows = materialize(docs.withColumn(at, place).withColumn(n, F.monotonically_increasing_id()))
     plain = rows.select(F.col(at).alias("place"), F.col(n).alias("n"), F.col(text).alias("text"))
     found = materialize(sets(plain, common_shingles(plain, width), width))
-    nodes = materialize(found.groupBy("sig").agg(F.min(F.struct("place", "n")).alias("first"), F.min("size").alias("size"), F.first("prefix").alias("prefix")))
+    nodes = materialize(found.groupBy("sig").agg(F.min(F.struct("place", "n")).alias("first"), F.min("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
     nodes = nodes.withColumn("node", F.col("first.n"))
     roots = components(links(nodes, plain, width))
     joined = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))

@@ -6,6 +6,8 @@ import re
 from pyspark.sql import types as T
 
 import corpus_pipeline as P
+import numpy as np
+
 from plumbline.llm import neardup
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("fp", T.StringType())])
@@ -85,3 +87,12 @@ def test_real_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert sorted(r.doc_id for r in P.drop_near_duplicates(spark, docs, "").select("doc_id").collect()) == plain_kept(rows)
+
+
+def test_parity_never_exceeds_the_difference():
+    rng = np.random.default_rng(11)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 3000))) for _ in range(2))
+        b = np.unique(np.concatenate([b[: rng.integers(0, 50)], a[rng.integers(0, 5) :]]))
+        bits = np.frombuffer(neardup.parity(a), np.uint64) ^ np.frombuffer(neardup.parity(b), np.uint64)
+        assert sum(int(x).bit_count() for x in bits) <= len(np.setxor1d(a, b))
