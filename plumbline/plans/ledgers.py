@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import canon
-from plumbline.operators import chain, pins
+from plumbline.operators import chain, near, pins, rows
 from plumbline.session import table
 
 # ---- fixtures: chained ledgers, a damaged copy, declarations, pins
@@ -152,6 +152,42 @@ def wn_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pins.gaps(pin_rows(rows), rows, limit=5)
 
 
+def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as JSON lines, some torn, blank or with a key twice."""
+    body = F.concat(F.lit('{"event": "'), "event_type", F.lit('", "n": '), F.col("event_id").cast("string"), F.lit("}"))
+    good = rows.append(bodies(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id").withColumn("body", body))
+    n = F.get_json_object("body", "$.n").cast("long")
+    raw = F.when(n % 67 == 0, "  ").when(n % 59 == 0, F.expr("substring(raw, 1, length(raw) - 7)")).when(n % 61 == 0, F.concat(F.lit('{"n": 0, '), F.expr("substring(raw, 2)"))).otherwise(F.col("raw"))
+    return good.select("ledger_id", "line", raw.alias("raw"))
+
+
+def led_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.verify_lines(json_lines(spark, sf_dir))
+
+
+def led_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows.read_rows(json_lines(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("lines"), F.count("chain").alias("chained"))
+
+
+def dg_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of canonical JSON; null where the text is none."""
+    raw = F.when(F.col("event_id") % 53 == 0, F.concat("props", F.lit("}"))).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", canon.digest_json(raw).alias("digest"))
+
+
+def cn_jcs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical JSON with numbers in their shortest form and keys in order."""
+    raw = F.concat(F.lit('{"p": '), F.format_string("%.3f", "o_totalprice"), F.lit(', "a": [1e2, -0.0, 1E-7], "É": "'), "o_orderstatus", F.lit('"}'))
+    return table(spark, sf_dir, "orders").select("o_orderkey", canon.canon_jcs(raw).alias("form"))
+
+
+def dd_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate turns of conversations, and a copy of every ninth with a word less."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    near_copy = c.where("id % 9 = 0").select((F.col("id") + 10**9).alias("id"), F.regexp_replace("text", r"\s\S+$", "").alias("text"))
+    return near.dedupe(c.unionAll(near_copy))
+
+
 # ---- SQL
 
 BASE = """
@@ -196,7 +232,18 @@ SELECT *, CASE WHEN prechain > 0 AND declared_breaks > 0 THEN 'bounded_prechain_
   CASE WHEN breaks > 0 THEN false WHEN prechain > 0 OR declared_breaks > 0 THEN NULL ELSE true END AS ok FROM sums"""
 
 
-QUERIES = {f.__name__: f for f in (led_build, led_verify, led_verify_intact, led_verify_strict, led_declared, led_head, led_chain_at, dg_bytes, ex_aat_verify, au_replay, wn_guard, wn_latest, wn_history, wn_strict, wn_equiv, wn_check, wn_gap)}
+JSON_BASE = """
+WITH RECURSIVE bodies AS (
+  SELECT CAST(user_id AS VARCHAR) AS ledger_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS line, event_id, '{"event": "' || event_type || '", "n": ' || event_id || '}' AS body FROM events),
+chained AS (
+  SELECT ledger_id, line, event_id, body, substr(sha256('genesis' || body), 1, 32) AS chain FROM bodies WHERE line = 1
+  UNION ALL
+  SELECT b.ledger_id, b.line, b.event_id, b.body, substr(sha256(c.chain || b.body), 1, 32) FROM bodies b JOIN chained c ON b.ledger_id = c.ledger_id AND b.line = c.line + 1),
+damaged AS (SELECT * FROM chained WHERE event_id % 67 <> 0 AND event_id % 59 <> 0 AND event_id % 61 <> 0),
+unread AS (SELECT ledger_id, count(*) FILTER (event_id % 67 <> 0 AND (event_id % 59 = 0 OR event_id % 61 = 0)) AS unreadable FROM bodies GROUP BY 1)
+"""
+
+QUERIES = {f.__name__: f for f in (led_build, led_verify, led_verify_intact, led_verify_strict, led_declared, led_head, led_chain_at, dg_bytes, ex_aat_verify, au_replay, wn_guard, wn_latest, wn_history, wn_strict, wn_equiv, wn_check, wn_gap, led_lines, led_states, dg_json, cn_jcs, dd_near)}
 
 ORACLE = {
     "led_build": BASE + "SELECT ledger_id, line, chain FROM chained",
@@ -226,5 +273,9 @@ f AS (SELECT g.namespace, CASE WHEN g.rows = 0 THEN 'no_record' WHEN coalesce(sz
   FROM guarded g LEFT JOIN sz USING (namespace) LEFT JOIN nc ON nc.ledger_id = g.namespace AND nc.line = g.rows WHERE reason = 'taken')
 SELECT sz.namespace, count(w) AS pins, CASE WHEN count(w) = 0 THEN 'no_record' WHEN bool_or(w = 'truncated') THEN 'truncated' WHEN bool_or(w = 'rewritten') THEN 'rewritten' WHEN bool_or(w = 'consistent') THEN 'consistent' ELSE 'no_record' END AS verdict
 FROM sz LEFT JOIN f USING (namespace) GROUP BY 1""",
+    "led_lines": JSON_BASE + _verify_sql("damaged", "false").replace("FROM sums", "FROM sums JOIN unread USING (ledger_id)"),
+    "led_states": """SELECT CASE WHEN event_id % 67 = 0 THEN 'blank' WHEN event_id % 59 = 0 OR event_id % 61 = 0 THEN 'unreadable' ELSE 'row' END AS state, count(*) AS lines, count(*) FILTER (event_id % 67 <> 0 AND event_id % 59 <> 0 AND event_id % 61 <> 0) AS chained FROM events GROUP BY 1""",
+    "dg_json": "SELECT event_id, CASE WHEN event_id % 53 <> 0 THEN 'sha256:json-c14n:v1:' || sha256(replace(props, ' ', '')) END AS digest FROM events",
+    "cn_jcs": """SELECT o_orderkey, '{"a":[100,0,1e-7],"p":' || regexp_replace(CAST(CAST(printf('%.3f', o_totalprice) AS DOUBLE) AS VARCHAR), '[.]0$', '') || ',"É":"' || o_orderstatus || '"}' AS form FROM orders""",
     "wn_gap": BASE + PINS + ", l AS (SELECT namespace, last(rows ORDER BY line) AS r FROM pins GROUP BY 1), s AS (SELECT ledger_id, count(*) AS n FROM bodies GROUP BY 1) SELECT namespace, n - r AS gap, n - r > 5 AS stale FROM l JOIN s ON s.ledger_id = l.namespace",
 }

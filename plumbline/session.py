@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -26,3 +30,22 @@ def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSessi
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and checkpointed in the shared folder, its lineage cut.
+
+    The folder is spark.checkpoint.dir. Where it is unset, a local master gets a
+    temporary one that goes with the process; a cluster is refused (ValueError).
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            made = tempfile.mkdtemp(prefix="plumbline-")
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
+            folder = "file://" + made
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
