@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], object], step: Callable, added: T.StructType) -> DataFrame:
@@ -17,21 +18,28 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
     holds one key's state at a time: a key may have more rows than fit in
     memory. `order` has to be total within a key.
     """
-    names = df.columns
+    names = list(df.columns)
+    return column_fold(df, keys, order, names, start, lambda state, *values: step(state, dict(zip(names, values))), added)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def column_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], start: Callable[[], object], step: Callable, added: T.StructType) -> DataFrame:
+    """ordered_fold for rules that need a few columns: step(state, *inputs). The other columns stay Arrow data."""
+    names = added.fieldNames()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
         for batch in batches:
-            out = []
-            at = [names.index(k) for k in keys]
-            for row in batch.itertuples(index=False, name=None):
-                now = tuple(row[i] for i in at)
+            column = {n: batch.column(batch.schema.get_field_index(n)) for n in {*keys, *inputs}}
+            found = zip(*(column[n].to_pylist() for n in keys)), zip(*(column[n].to_pylist() for n in inputs))
+            made = []
+            for now, values in zip(*found):
                 if now != key:
                     key, state = now, start()
-                state, values = step(state, dict(zip(names, row)))
-                out.append(values)
-            made = pd.DataFrame(out, columns=added.fieldNames(), dtype=object)
-            yield pd.concat([batch.reset_index(drop=True), made], axis=1)
+                state, value = step(state, *values)
+                made.append(value)
+            new = [pa.array([m[i] for m in made], t) for i, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
+    kinds = [to_arrow_type(f.dataType) for f in added.fields]
     dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return dealt.mapInPandas(run, T.StructType(df.schema.fields + added.fields))
+    return dealt.mapInArrow(run, T.StructType(df.schema.fields + added.fields))

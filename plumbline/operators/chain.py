@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.canon import GENESIS, LINK
-from plumbline.functions.fold import ordered_fold
+from plumbline.functions.fold import column_fold
 
 
 def linked(previous: Column, body: Column) -> Column:
@@ -31,11 +31,11 @@ def build(rows: DataFrame) -> DataFrame:
     has to be.
     """
 
-    def step(previous: str, row: dict) -> tuple[str, tuple]:
-        now = hashlib.sha256((previous + row["body"]).encode()).hexdigest()[:LINK]
+    def step(previous: str, body: str) -> tuple[str, tuple]:
+        now = hashlib.sha256((previous + body).encode()).hexdigest()[:LINK]
         return now, (now,)
 
-    return ordered_fold(rows, ["ledger_id"], ["line"], lambda: GENESIS, step, T.StructType([T.StructField("chain", T.StringType())]))
+    return column_fold(rows, ["ledger_id"], ["line"], ["body"], lambda: GENESIS, step, T.StructType([T.StructField("chain", T.StringType())]))
 
 
 def carried(rows: DataFrame, key: str, order: str, value: str, out: str, chunk: int = 1 << 16) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import canon
 from plumbline.operators import chain, near, pins, rows
-from plumbline.session import table
+from plumbline.session import settled, table
 
 # ---- fixtures: chained ledgers, a damaged copy, declarations, pins
 
@@ -72,7 +72,7 @@ def led_verify_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def led_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = damaged(spark, sf_dir)
+    rows = settled(damaged(spark, sf_dir))
     return chain.verify(rows, chain.last_declared(declarations(rows)))
 
 
@@ -139,11 +139,11 @@ def wn_equiv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def wn_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pins of the intact log against a log that lost rows at its end, or was edited."""
-    rows = chained(spark, sf_dir)
+    """Pins of the intact log against a log that lost rows at its end, or was edited. Both chains are built once."""
+    rows = settled(chained(spark, sf_dir))
     taken = pins.accepted(pin_rows(rows)).where("reason is null")
     now = rows.where("not (cast(ledger_id as long) % 4 = 0 and line > 30)").withColumn("body", F.when((F.col("ledger_id").cast("long") % 9 == 0) & (F.col("line") == 3), F.concat("body", F.lit("!"))).otherwise(F.col("body")))
-    rebuilt = chain.build(now.drop("chain"))
+    rebuilt = settled(chain.build(now.drop("chain")))
     return pins.compare(taken, rebuilt, chain.verify(rebuilt.where("true")))
 
 

@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.canon import parse
-
-LINES = "ledger_id string, line long, raw string, readable boolean, object boolean"
+from plumbline.operators.rows import read_rows
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -27,22 +22,6 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return text.withColumn("k", inside).join(sizes.withColumn("before", before), ["ledger_id", "part"]).select("ledger_id", (F.col("k") + F.col("before")).alias("line"), "raw")
 
 
-def classify(lines: DataFrame) -> DataFrame:
-    """Adds whether each line is JSON that can be read, and whether it is an object; blank lines go."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [parse(r) for r in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found]), pa.array([isinstance(f[1], dict) for f in found])], names=["ledger_id", "line", "raw", "readable", "object"])
-
-    return lines.select("ledger_id", "line", "raw").where(F.trim(F.regexp_replace("raw", "[\\s\\x0b]+", "")) != "").mapInArrow(run, LINES)
-
-
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """Every line that isn't blank, with its number, its text and how it reads. Bad lines are rows, not errors."""
-    return classify(read_lines(spark, path))
-
-
-def unreadable(lines: DataFrame) -> DataFrame:
-    """(ledger_id, rows, unreadable): lines that are no JSON objects count as unreadable."""
-    return lines.groupBy("ledger_id").agg(F.count_if("object").alias("rows"), F.count_if(~F.col("object")).alias("unreadable"))
+    """Every line with its number, its text and how it reads (see operators.rows). Bad lines are rows, not errors."""
+    return read_rows(read_lines(spark, path))
