@@ -20,7 +20,8 @@ from tokenizers import Tokenizer
 
 VOCABULARY = "byte_bpe_50k"  # as .json and as .tiktoken
 _CUT = re.compile(r"(?<=[A-Za-z一-鿿가-힣])(?=\W)")
-_LONG = re.compile(r"\s{1024}|\S{1024}")
+LONG = 1024
+_BLANKS = re.compile(rf"\s{{{LONG}}}")
 
 
 @lru_cache(maxsize=4)
@@ -55,11 +56,18 @@ def parts(text: str, size: int = 1 << 18) -> Iterator[str]:
     yield text[begin:] if begin else text
 
 
+def has_long_run(text: str) -> bool:
+    """Whether LONG characters in a row are white space, or none of them is."""
+    sizes = [len(w) for w in text.split()]
+    spare = len(text) - sum(sizes) - len(sizes)  # white space beyond one a word
+    return max(sizes, default=0) >= LONG or spare >= LONG - 2 and _BLANKS.search(text) is not None
+
+
 def encode(text: str, ranks: str | None = None, vocabulary: str | None = None) -> np.ndarray:
     """Ids of a whole text; strings of special tokens are ordinary text. The paths are those of one vocabulary in both forms."""
     found = []
     for part in parts(text):
-        if _LONG.search(part):
+        if has_long_run(part):
             found.append(np.array(tokenizer(vocabulary).encode(part, add_special_tokens=False).ids, np.uint32))
         else:
             found.append(np.array(encoding(ranks).encode_ordinary(part), np.uint32))
