@@ -159,9 +159,11 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     rows = materialize(docs.withColumn(at, place).withColumn(n, F.monotonically_increasing_id()))
     plain = rows.select(F.col(at).alias("place"), F.col(n).alias("n"), F.col(text).alias("text"))
     found = materialize(sets(plain, common_shingles(plain, width), width))
-    nodes = materialize(found.groupBy("sig").agg(F.min(F.struct("place", "n")).alias("first"), F.min("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
-    nodes = nodes.withColumn("node", F.col("first.n"))
+    first = found.groupBy("sig").agg(F.min(F.struct("place", "n")).alias("first")).select("first.n")
+    copies = materialize(found.select("n").join(first, "n", "left_anti"))
+    nodes = materialize(found.join(copies, "n", "left_anti").select(F.col("n").alias("node"), "place", "size", "prefix", "bits"))
     roots = components(links(nodes, plain, width))
-    joined = nodes.select("node", "first").join(roots, "node", "left").select("first", F.coalesce("root", "node").alias("root"))
-    kept = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias(n))
-    return rows.join(kept, n, "left_semi").select(docs.columns)
+    linked = materialize(nodes.select("node", "place").join(roots, "node"))
+    stay = linked.groupBy("root").agg(F.min(F.struct("place", "node")).alias("first")).select("first.node")
+    gone = materialize(copies.unionAll(linked.select("node").join(stay, "node", "left_anti")))
+    return rows.join(gone.withColumnRenamed("n", n), n, "left_anti").select(docs.columns)

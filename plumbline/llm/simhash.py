@@ -144,4 +144,6 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radi
     roots = components(links(nodes.select("fp"), radius))
     joined = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("first", F.coalesce("root", "fp").alias("root"))
     kept = joined.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.n").alias("kept_n"))
-    return rows.join(kept, rows[row]["n"] == kept["kept_n"], "left_semi").drop(row).select(docs.columns)
+    numbers = fps.select(F.col("at.n").alias("gone_n"))
+    gone = materialize(numbers.join(kept, numbers["gone_n"] == kept["kept_n"], "left_anti"))
+    return rows.join(gone, rows[row]["n"] == gone["gone_n"], "left_anti").drop(row).select(docs.columns)
