@@ -10,10 +10,10 @@ similar as that share one of their first n - ceil(SIMILAR * n) + 1. The order is
 by hash, with shingles that are common in a sample at the end, so the sample
 bears on the cost alone. Of a shingle's texts each first meets the leader; then,
 where these links leave more than one group, the texts outside of its largest
-group meet all texts of other groups, as far as enough shingles stand behind the
-shared one in both and as their parity bits, of which each shingle toggles one,
-are close enough to belong to similar sets. No shingle has a cap, and every candidate
-is settled by its whole sets.
+group meet all texts of other groups. Pairs count as far as enough shingles
+stand behind the shared one in both and as their parity bits, of which each
+shingle toggles one, are close enough to belong to similar sets. No shingle has
+a cap, and every candidate left is settled by its whole sets.
 """
 
 from __future__ import annotations
@@ -125,6 +125,12 @@ def _alike(x: str, y: str) -> Column:
     return apart * sum(SIMILAR) <= (F.col(f"{x}_size") + F.col(f"{y}_size")) * (SIMILAR[1] - SIMILAR[0])
 
 
+def _pruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that can be similar by their parity bits."""
+    side = lambda x, end: nodes.select(F.col("node").alias(end), F.col("size").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits"))
+    return pairs.join(side("x", "a"), "a").join(side("y", "b"), "b").where(_alike("x", "y")).select("a", "b")
+
+
 def links(nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """Pairs (a, b) of nodes (node, size, prefix) that connect all similar ones, directly or over others."""
     at = nodes.select("node", "size", F.posexplode("prefix").alias("at", "h"))
@@ -133,7 +139,7 @@ def links(nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     led = shared.groupBy("h").agg(F.min(F.struct("node", "size", "at")).alias("lead"))
     met = shared.join(led, "h").select(F.col("lead.node").alias("x"), F.col("lead.size").alias("x_size"), F.col("lead.at").alias("x_at"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("at").alias("y_at"))
     tried = materialize(met.where((F.col("x") < F.col("y")) & _close("x", "y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    first = materialize(verified(tried, rows, width))
+    first = materialize(verified(materialize(_pruned(tried, nodes)), rows, width))
     roots = materialize(components(first))
     member = materialize(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     groups = member.groupBy("h", "root").agg(F.count("*").alias("k"))
