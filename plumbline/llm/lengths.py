@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import pieces, small_batches, texts
+from plumbline.llm.common import materialize, pieces, small_batches, texts
 from plumbline.llm.tokens import encode
 
 
@@ -65,5 +65,5 @@ def length_quantile(sums: DataFrame, share: float) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """suffix_sums of the documents' histogram; an empty table gives an empty result."""
-    return suffix_sums(histogram(docs, text, path))
+    """suffix_sums of the documents' histogram, written once; an empty table gives an empty result."""
+    return suffix_sums(materialize(histogram(docs, text, path)))
