@@ -94,22 +94,26 @@ def sets(rows: DataFrame, common: np.ndarray, width: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """Of candidates (a, b), numbers of rows (n, text), the similar ones."""
+    """Of candidates (a, b), numbers of rows (n, text), the similar ones.
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text", max_bytes=8 << 20):
-            found = [shingles(t, width).tobytes() for t in texts(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("n")), pa.array(found, pa.binary())], names=["n", "set"])
+    Texts meet, not their sets: hashes don't compress, and take over twice the
+    room of the words that they are made of.
+    """
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("a_set", "b_set"))
-            good = [similar(np.frombuffer(x.as_buffer(), np.int64), np.frombuffer(y.as_buffer(), np.int64)) for x, y in zip(a, b)]
+            known: dict[int, np.ndarray] = {}
+            for end in ("a", "b"):
+                for n, text in zip(batch.column(batch.schema.get_field_index(end)).to_pylist(), texts(batch, f"{end}_text")):
+                    if n not in known:
+                        known[n] = shingles(text, width)
+            a, b = (batch.column(batch.schema.get_field_index(end)).to_pylist() for end in ("a", "b"))
+            good = [similar(known[x], known[y]) for x, y in zip(a, b)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    named = materialize(rows.join(ends, "n", "left_semi").select("n", "text").transform(small_batches).mapInArrow(whole, "n long, set binary"))
-    met = pairs.join(named.select(F.col("n").alias("a"), F.col("set").alias("a_set")), "a").join(named.select(F.col("n").alias("b"), F.col("set").alias("b_set")), "b")
+    named = materialize(rows.join(ends, "n", "left_semi").select("n", "text"))
+    met = pairs.join(named.select(F.col("n").alias("a"), F.col("text").alias("a_text")), "a").join(named.select(F.col("n").alias("b"), F.col("text").alias("b_text")), "b")
     return met.transform(small_batches).mapInArrow(settle, "a long, b long")
 
 
