@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _RUN = uuid.uuid4().hex
+_FOLDERS = [_RUN]
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -45,18 +47,44 @@ def materialize(df: DataFrame) -> DataFrame:
 
     The written rows no longer depend on any executor's local files, and keys
     made while writing (partition ids, running numbers) are fixed from then on.
-    Results read them, so they stay until `clear` is called.
+    Spark removes the shuffles of the write at its end, as nothing reads them
+    any more. Results read what is written, so it stays until `clear` is called
+    or the `settled` around it ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/plumbline/{_RUN}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_dir(spark)}/plumbline/{'/'.join(_FOLDERS)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, step: Callable[[], DataFrame]) -> DataFrame:
+    """The written result of a step, without the tables that the step wrote on the way; steps may be nested, in one thread."""
+    inner = uuid.uuid4().hex
+    path = f"{shared_dir(spark)}/plumbline/{'/'.join(_FOLDERS)}/{inner}"
+    try:
+        _FOLDERS.append(inner)
+        try:
+            found = step()
+        finally:
+            _FOLDERS.pop()
+        return materialize(found)
+    finally:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes all that this process has written to the shared folder; results not yet read are lost."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/plumbline/{_RUN}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/plumbline/{_RUN}")
 
 
 def remainder(doc_id: Column, modulus: int) -> Column:

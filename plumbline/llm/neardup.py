@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from plumbline.llm.common import materialize, pieces, small_batches, texts
+from plumbline.llm.common import materialize, pieces, settled, small_batches, texts
 from plumbline.llm.components import components
 from plumbline.llm.simhash import _hashes
 
@@ -142,9 +142,10 @@ def links(nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     shared = materialize(at.join(several, "h"))
     led = shared.groupBy("h").agg(F.min(F.struct("node", "size", "at")).alias("lead"))
     met = shared.join(led, "h").select(F.col("lead.node").alias("x"), F.col("lead.size").alias("x_size"), F.col("lead.at").alias("x_at"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("at").alias("y_at"))
+    spark = nodes.sparkSession
     tried = materialize(met.where((F.col("x") < F.col("y")) & _close("x", "y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    first = materialize(verified(materialize(_pruned(tried, nodes)), rows, width))
-    roots = materialize(components(first))
+    first = settled(spark, lambda: verified(materialize(_pruned(tried, nodes)), rows, width))
+    roots = settled(spark, lambda: components(first))
     member = materialize(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     groups = member.groupBy("h", "root").agg(F.count("*").alias("k"))
     split = groups.groupBy("h").agg(F.max_by("root", F.struct("k", "root")).alias("most"), F.count("*").alias("groups")).where("groups > 1").select("h", "most")
@@ -168,11 +169,13 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     place = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("hash"), F.length(text).alias("length"))
     rows = materialize(docs.withColumn(at, place).withColumn(n, F.monotonically_increasing_id()))
     plain = rows.select(F.col(at).alias("place"), F.col(n).alias("n"), F.col(text).alias("text"))
+    spark = docs.sparkSession
     found = materialize(sets(plain, common_shingles(plain, width), width))
     first = found.groupBy("sig").agg(F.min(F.struct("place", "n")).alias("first")).select("first.n")
     copies = materialize(found.select("n").join(first, "n", "left_anti"))
-    nodes = materialize(found.join(copies, "n", "left_anti").select(F.col("n").alias("node"), "place", "size", "prefix", "bits"))
-    roots = components(links(nodes, plain, width))
+    nodes = found.join(copies, "n", "left_anti").select(F.col("n").alias("node"), "place", "size", "prefix", "bits")
+    pairs = settled(spark, lambda: links(materialize(nodes), plain, width))
+    roots = settled(spark, lambda: components(pairs))
     linked = materialize(nodes.select("node", "place").join(roots, "node"))
     stay = linked.groupBy("root").agg(F.min(F.struct("place", "node")).alias("first")).select("first.node")
     gone = materialize(copies.unionAll(linked.select("node").join(stay, "node", "left_anti")))
