@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import classlm, decontaminate, extract, langid, lengths, licenses, packing, simhash, topk, toxicity
+from plumbline.llm import classlm, decontaminate, extract, langid, lengths, licenses, packing, sharding, simhash, topk, toxicity
 from plumbline.llm.common import read
 
 
@@ -50,6 +50,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read(spark, sf_dir, "documents"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -62,10 +66,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": op8_langid,
         "op9_decontamination": op9_decontamination,
         "op10_packing": op10_packing,
+        "op13_sharding": op13_sharding,
     }
 
 
-#: op5 whole; the other operators train models, pack or read markup, which SQL does not express.
+#: Whole results; the other operators train models, pack or read markup, which SQL does not express.
 TOPK = """WITH v AS (
   SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -74,5 +79,26 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+SHARDING = """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size FROM documents),
+g AS (SELECT t, CAST(sum(size) AS BIGINT) AS w, min(doc_id) AS f FROM d GROUP BY t),
+h AS (SELECT *, row_number() OVER b AS i, sum(w) OVER b - w AS before, sum(w) OVER () AS s FROM g WINDOW b AS (ORDER BY w DESC, f ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT *, i < 40 AND bool_and(w * (41 - i) >= s - before) OVER (ORDER BY i) AS alone FROM h),
+r AS (SELECT t, CAST(sum(w) OVER (ORDER BY f) AS BIGINT) AS e FROM a WHERE NOT alone),
+p AS (SELECT list(e) AS ends, max(e) AS total, (SELECT CAST(count(*) AS INTEGER) FROM a WHERE alone) AS giants FROM r),
+search AS (SELECT CAST(1 AS BIGINT) AS lo, total AS hi FROM p UNION ALL
+  SELECT CASE WHEN ok THEN lo ELSE mid + 1 END, CASE WHEN ok THEN mid ELSE hi END FROM (
+    SELECT lo, hi, mid, list_reduce(list_prepend(CAST(0 AS BIGINT), range(40 - giants)), lambda b, x: coalesce(list_max(list_filter(ends, lambda e: e <= b + mid)), b)) = total AS ok
+    FROM (SELECT lo, hi, (lo + hi) // 2 AS mid FROM search WHERE lo < hi), p)),
+best AS (SELECT min(hi) AS capacity FROM search),
+walk AS (SELECT giants AS shard, CAST(0 AS BIGINT) AS b FROM p UNION ALL
+  SELECT shard + 1, list_max(list_filter(ends, lambda e: e <= b + capacity)) FROM walk, p, best WHERE b < total),
+placed AS (SELECT t, CAST(i - 1 AS INTEGER) AS shard, CAST(0 AS BIGINT) AS e FROM a WHERE alone UNION ALL
+  SELECT t, (SELECT max(shard) FROM walk WHERE b < e), e FROM r),
+tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+sums AS (SELECT t, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(t)), '..'), lambda x: CAST('0x' || x AS BIGINT))), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295) AS text_crc32 FROM g, tab)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY e, doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM d JOIN placed USING (t) JOIN sums USING (t)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": TOPK}
+    return {"op5_topk": TOPK, "op13_sharding": SHARDING}
