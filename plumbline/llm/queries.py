@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import classlm, decontaminate, extract, langid, lengths, licenses, packing, sharding, simhash, topk, toxicity
+from plumbline.llm import classlm, decontaminate, divergence, extract, langid, lengths, licenses, packing, sharding, simhash, topk, toxicity
 from plumbline.llm.common import read
 
 
@@ -50,6 +50,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read(spark, sf_dir, "documents"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": op8_langid,
         "op9_decontamination": op9_decontamination,
         "op10_packing": op10_packing,
+        "op12_divergence": op12_divergence,
         "op13_sharding": op13_sharding,
     }
 
@@ -79,6 +84,22 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+DIVERGENCE = r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS n,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+u AS (SELECT lang, source, n, unnest(w) AS t FROM d),
+k AS (SELECT lang, t, count(*) AS c FROM u GROUP BY lang, t HAVING count(DISTINCT n) >= 3),
+l AS (SELECT lang, count(*) AS v, CAST(sum(c) AS BIGINT) AS total FROM k GROUP BY lang),
+c AS (SELECT u.lang, source, t, count(*) AS c FROM u SEMI JOIN k ON u.lang = k.lang AND u.t = k.t GROUP BY u.lang, source, t),
+s AS (SELECT lang, source, CAST(sum(c) AS BIGINT) AS total FROM c GROUP BY lang, source),
+w AS (SELECT g.lang, g.source, k.t, coalesce(c.c, 0) AS c, 1 + (1000000000 * (coalesce(c.c, 0) + 1)) // (coalesce(s.total, 0) + v) AS p, 1 + (1000000000 * (k.c + 1)) // (l.total + v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN s USING (lang, source) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.t = k.t),
+f AS (SELECT a.lang, a.source, b.source AS item, CAST(sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS BIGINT) AS value FROM w a JOIN w b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', t, ((p - q) * (p - q)) // q FROM w WHERE c > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200"""
+
 SHARDING = """WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) + 16 AS BIGINT) AS size FROM documents),
 g AS (SELECT t, CAST(sum(size) AS BIGINT) AS w, min(doc_id) AS f FROM d GROUP BY t),
 h AS (SELECT *, row_number() OVER b AS i, sum(w) OVER b - w AS before, sum(w) OVER () AS s FROM g WINDOW b AS (ORDER BY w DESC, f ROWS UNBOUNDED PRECEDING)),
@@ -101,4 +122,4 @@ FROM d JOIN placed USING (t) JOIN sums USING (t)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": TOPK, "op13_sharding": SHARDING}
+    return {"op5_topk": TOPK, "op12_divergence": DIVERGENCE, "op13_sharding": SHARDING}
