@@ -28,7 +28,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import materialize, pieces, small_batches, texts
+from plumbline.llm.common import bounded, materialize, pieces, small_batches, texts
 
 LETTERS = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 GROUP = ["lang", "source"]
@@ -97,11 +97,6 @@ def _unpacked(data: bytes | None, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[1:], n * data[0], codec="zstd", asbytes=True), f"<u{data[0]}").astype(np.int64)
 
 
-def bounded(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
-    """df, broadcast if it has at most `rows` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def vocabulary(counts: DataFrame, least_docs: int, width: int) -> tuple[DataFrame, DataFrame]:
     """(lang, term, slice, id, lang_n, kept, slices) of each kept term, and (lang, kept, slices, lang_total)."""
     terms = materialize(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import classlm, decontaminate, divergence, extract, langid, lengths, licenses, packing, sharding, simhash, topk, toxicity
+from plumbline.llm import classlm, decontaminate, divergence, extract, langid, lengths, lexical, licenses, packing, sharding, simhash, topk, toxicity
 from plumbline.llm.common import read
 
 
@@ -50,6 +50,10 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(read(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_langid": op8_langid,
         "op9_decontamination": op9_decontamination,
         "op10_packing": op10_packing,
+        "op11_ranked_search": op11_ranked_search,
         "op12_divergence": op12_divergence,
         "op13_sharding": op13_sharding,
     }
@@ -84,6 +89,18 @@ r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY n ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20"""
 
 
+SEARCH = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+q AS (SELECT item_id, row_number() OVER () AS i, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+s AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+t AS (SELECT doc_id, r, len(w) AS n, unnest(w) AS term FROM d),
+p AS (SELECT doc_id, r, n, term, count(*) AS tf FROM t GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+u AS (SELECT item_id, i, unnest(w) AS term FROM q),
+x AS (SELECT item_id, i, doc_id, r, CAST(sum(CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total)))) AS BIGINT) AS score
+  FROM u JOIN p USING (term) JOIN f USING (term), s GROUP BY item_id, i, doc_id, r),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10"""
+
 DIVERGENCE = r"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS n,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
 g AS (SELECT DISTINCT lang, source FROM d),
@@ -122,4 +139,4 @@ FROM d JOIN placed USING (t) JOIN sums USING (t)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": TOPK, "op12_divergence": DIVERGENCE, "op13_sharding": SHARDING}
+    return {"op5_topk": TOPK, "op11_ranked_search": SEARCH, "op12_divergence": DIVERGENCE, "op13_sharding": SHARDING}
