@@ -19,6 +19,7 @@ whose survivors meet in one ranking.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,41 +33,38 @@ from plumbline.llm.common import bounded, materialize, pieces, small_batches, te
 
 LETTERS = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 GROUP = ["lang", "source"]
+LOW_BITS = 40  # a task's occurrences of a term; its documents take the bits above
+ONE, LOW, MOST_ROWS = 1 << LOW_BITS, (1 << LOW_BITS) - 1, 1 << 22
 
 
-def counted(docs: DataFrame, lang: str, source: str, text: str, hold: int = 1 << 18) -> DataFrame:
+def counted(docs: DataFrame, lang: str, source: str, text: str, hold: int = 1 << 20) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents, added up in each task over `hold` entries at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        entries = 0
+        held: dict[tuple[str, str], dict[bytes, int]] = {}  # documents in the upper bits, occurrences in the lower
+        entries = rows = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out(step: int = 1 << 16) -> Iterator[pa.RecordBatch]:
             for (a, b), terms in held.items():
-                numbers = np.array(list(terms.values()), np.int64).reshape(-1, 2)
-                kinds = [pa.array([x] * len(terms), pa.string()) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays([*kinds, pa.array(list(terms), pa.binary()), pa.array(numbers[:, 0]), pa.array(numbers[:, 1])], names=[*GROUP, "term", "n", "docs"])
+                names, sums = list(terms), np.array(list(terms.values()), np.int64)
+                for i in range(0, len(names), step):
+                    part = sums[i : i + step]
+                    kinds = [pa.array([x] * len(part), pa.string()) for x in (a, b)]
+                    yield pa.RecordBatch.from_arrays([*kinds, pa.array(names[i : i + step], pa.binary()), pa.array(part & LOW), pa.array(part >> LOW_BITS)], names=[*GROUP, "term", "n", "docs"])
 
         for batch in pieces(batches, "text"):
             names = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
             for key, data in zip(names, texts(batch, "text")):
                 own = held.setdefault(key, {})
-                here: dict[bytes, int] = {}
-                for term in LETTERS.findall(data.lower()):
-                    here[term] = here.get(term, 0) + 1
                 entries -= len(own)
-                for term, n in here.items():
-                    if (found := own.get(term)) is None:
-                        own[term] = [n, 1]
-                    else:
-                        found[0] += n
-                        found[1] += 1
-                entries += len(own)
-                if entries > hold:
+                for term, n in Counter(LETTERS.findall(data.lower())).items():
+                    own[term] = own.get(term, 0) + n + ONE
+                entries, rows = entries + len(own), rows + 1
+                if entries > hold or rows >= MOST_ROWS:
                     yield from out()
                     held.clear()
-                    entries = 0
-        yield from (b for b in out() if b.num_rows)
+                    entries = rows = 0
+        yield from out()
 
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(k) for c, k in ((lang, "lang"), (source, "source"), (text, "text"))])
     return small_batches(rows).mapInArrow(run, "lang string, source string, term binary, n long, docs long")
