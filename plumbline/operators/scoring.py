@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Points of a calibration item; row caps that a table is halved through; the size below which a delta is noise.
 POINTS = {"correct": 1.0, "idk_unanswerable": 1.0, "idk_answerable": 0.2, "wrong": 0.0}
 ROW_CAPS, SMALL = (40, 20, 10, 5, 4), 30
+#: Types of scoring.
+KINDS = ("exact_match", "numeric_tolerance", "calibration")
 #: Phrases that say an answer is not known.
 ABSTAINS = r"\b(?:i (?:do not|don't|dont) know|not sure|no idea|cannot (?:say|answer)|unknown)\b"
 #: Shortest secret, least bits a character, and words that mark a placeholder.
