@@ -24,7 +24,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,11 +69,11 @@ def counted(docs: DataFrame, lang: str, source: str, text: str, hold: int = 1 <<
     return small_batches(rows).mapInArrow(run, "lang string, source string, term binary, n long, docs long")
 
 
-def weights(counts: np.ndarray, total: int) -> np.ndarray:
+def weights(counts: np.ndarray, total: int | np.ndarray) -> np.ndarray:
     """1 + floor(10^9 (count + 1) / total), exactly: by long division, three digits at a time, as the product may not fit a long."""
     rest, found = counts + 1, np.zeros(len(counts), np.int64)
     for _ in range(3):
-        digits, rest = np.divmod(rest * 1000, max(total, 1))
+        digits, rest = np.divmod(rest * 1000, np.maximum(total, 1))
         found = found * 1000 + digits
     return found + 1
 
@@ -95,14 +94,24 @@ def _unpacked(data: bytes | None, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[1:], n * data[0], codec="zstd", asbytes=True), f"<u{data[0]}").astype(np.int64)
 
 
-def vocabulary(counts: DataFrame, least_docs: int, width: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, term, slice, id, lang_n, kept, slices) of each kept term, and (lang, kept, slices, lang_total)."""
-    terms = materialize(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs"))
-    sizes = terms.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
-    sizes = materialize(sizes.withColumn("slices", F.ceil(F.col("kept") / width)))
-    sliced = terms.join(bounded(sizes.select("lang", "kept", "slices")), "lang").withColumn("slice", F.pmod(F.xxhash64("term"), "slices"))
-    numbered = sliced.withColumn("id", F.row_number().over(Window.partitionBy("lang", "slice").orderBy("term")) - 1)
-    return materialize(numbered), sizes
+def kept_counts(docs: DataFrame, lang: str, source: str, text: str, least_docs: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, source, term, slice, id, n, lang_n) of each group's kept terms, and (lang, kept, slices, lang_total).
+
+    A task's counts are dealt by language and term once; the sums over the
+    group and over the language are both made there. A slice has about `width`
+    counts, so numbering its terms is a bounded sort.
+    """
+    term = ["lang", "term"]
+    counts = counted(docs, lang, source, text).repartition(*term).groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by = Window.partitionBy(*term)
+    first = F.row_number().over(by.orderBy("source")) == 1
+    rows = counts.withColumns({"lang_n": F.sum("n").over(by), "lang_docs": F.sum("docs").over(by), "first": first})
+    rows = materialize(rows.where(F.col("lang_docs") >= least_docs).drop("docs", "lang_docs"))
+    sizes = rows.groupBy("lang").agg(F.count_if("first").alias("kept"), F.sum(F.when(F.col("first"), F.col("lang_n"))).alias("lang_total"), F.ceil(F.count("*") / width).alias("slices"))
+    sizes = materialize(sizes)
+    sliced = rows.join(bounded(sizes.select("lang", "slices")), "lang").withColumn("slice", F.pmod(F.xxhash64("term"), "slices"))
+    numbered = sliced.withColumn("id", F.dense_rank().over(Window.partitionBy("lang", "slice").orderBy("term")) - 1)
+    return materialize(numbered.drop("slices", "first")), sizes
 
 
 def members(docs: DataFrame, lang: str, source: str, sizes: DataFrame, held: DataFrame) -> DataFrame:
@@ -113,6 +122,7 @@ def members(docs: DataFrame, lang: str, source: str, sizes: DataFrame, held: Dat
     peers = Window.partitionBy("lang")
     return materialize(
         known.withColumns({
+            "group": F.monotonically_increasing_id(),
             "at": F.row_number().over(peers.orderBy("source")).cast("long") - 1,
             "peers": F.count("*").over(peers),
             **{k: F.coalesce(k, F.lit(0)) for k in ("total", "kept", "lang_total")},
@@ -121,7 +131,7 @@ def members(docs: DataFrame, lang: str, source: str, sizes: DataFrame, held: Dat
     )
 
 
-def vectors(held: DataFrame, groups: DataFrame, terms: DataFrame) -> DataFrame:
+def vectors(held: DataFrame, groups: DataFrame) -> DataFrame:
     """A compressed vector for each group and slice, with what its meetings need."""
     key = ["lang", "slice", "source"]
 
@@ -132,7 +142,7 @@ def vectors(held: DataFrame, groups: DataFrame, terms: DataFrame) -> DataFrame:
         return pa.table({**{k: group.column(k)[:1] for k in key}, "own": pa.array([len(ids)], pa.int64()), **packed})
 
     packed = held.select(*key, "id", "n").groupBy(*key).applyInArrow(pack, "lang string, slice long, source string, own long, ids binary, counts binary")
-    widths = terms.groupBy("lang", "slice").agg(F.count("*").alias("width"))
+    widths = held.groupBy("lang", "slice").agg((F.max("id") + 1).cast("long").alias("width"))
     every = groups.select(*GROUP, "at", "peers", "total", "kept", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"))
     whole = every.join(packed, key, "left").join(bounded(widths), ["lang", "slice"], "left")
     return materialize(whole.withColumns({"own": F.coalesce("own", F.lit(0)), "width": F.coalesce("width", F.lit(0))}))
@@ -145,6 +155,7 @@ def partner(at: Column, turn: Column) -> Column:
     return F.when(at == last, F.pmod(turn * F.expr("(peers + pmod(peers, 2)) div 2"), last)).otherwise(F.when(other == at, last).otherwise(other))
 
 
+LEADING = ["group", "term", "n", "lang_n", "total", "kept", "lang_total"]
 VECTOR = ["total", "kept", "width", "own", "ids", "counts"]
 
 
@@ -211,40 +222,41 @@ def pair_divergences(vectors: DataFrame, wave: int = 8) -> DataFrame:
 
 
 def leading_terms(held: DataFrame, groups: DataFrame, ranks: int, hold: int = 1 << 18) -> DataFrame:
-    """(lang, source, item, value) of the terms that a group has more of than its language: each partition's `ranks` first at least."""
+    """(group, item, value) of the terms that a group has more of than its language: each partition's `ranks` first at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[tuple[str, str], list[tuple[int, bytes]]] = {}
+        heaps: dict[int, list[tuple[int, bytes]]] = {}
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), heap in heaps.items():
-                values = [-v for v, _ in heap]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(heap), pa.string()), pa.array([source] * len(heap), pa.string()), pa.array([t for _, t in heap], pa.binary()), pa.array(values, pa.int64())], names=[*GROUP, "item", "value"])
+            for group, heap in heaps.items():
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(heap), pa.int64()), pa.array([t for _, t in heap], pa.binary()), pa.array([-v for v, _ in heap], pa.int64())], names=["group", "item", "value"])
 
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            for key in table.select([*GROUP, "total", "kept", "lang_total"]).group_by([*GROUP, "total", "kept", "lang_total"]).aggregate([]).to_pylist():
-                mask = np.asarray(pc.and_(pc.equal(table["lang"], key["lang"]), pc.equal(table["source"], key["source"])))
-                at = np.flatnonzero(mask)
-                p = weights(np.asarray(table["n"])[at], key["total"] + key["kept"])
-                q = weights(np.asarray(table["lang_n"])[at], key["lang_total"] + key["kept"])
-                values, heap = divergences(p, q), heaps.get((key["lang"], key["source"]), [])
-                use = (p > q) & (values >= (-heap[-1][0] if len(heap) == ranks else 0))
-                if use.sum() > ranks:
-                    use &= values >= np.partition(values[use], -ranks)[-ranks]
-                terms = table["term"].take(pa.array(at[use])).to_pylist()
-                heaps[key["lang"], key["source"]] = sorted([*heap, *zip((-values[use]).tolist(), terms)])[:ranks]
+            column = {c: np.asarray(batch.column(i)) for i, c in enumerate(LEADING) if c != "term"}
+            p = weights(column["n"], column["total"] + column["kept"])
+            q = weights(column["lang_n"], column["lang_total"] + column["kept"])
+            values = divergences(p, q)
+            more = np.flatnonzero(p > q)
+            more = more[np.argsort(column["group"][more], kind="stable")]
+            names, starts = np.unique(column["group"][more], return_index=True)
+            for group, at in zip(names.tolist(), np.split(more, starts[1:])):
+                heap = heaps.get(group, [])
+                if len(heap) == ranks:
+                    at = at[values[at] >= -heap[-1][0]]
+                if len(at) > ranks:
+                    at = at[values[at] >= np.partition(values[at], -ranks)[-ranks]]
+                terms = batch.column(LEADING.index("term")).take(pa.array(at)).to_pylist()
+                heaps[group] = sorted([*heap, *zip((-values[at]).tolist(), terms)])[:ranks]
             if sum(map(len, heaps.values())) > hold:
                 yield from out()
                 heaps.clear()
         yield from (b for b in out() if b.num_rows)
 
-    sizes = bounded(groups.select(*GROUP, "total", "kept", "lang_total"))
-    rows = held.join(sizes, GROUP).select(*GROUP, "term", "n", "lang_n", "total", "kept", "lang_total")
-    return rows.mapInArrow(run, "lang string, source string, item binary, value long")
+    rows = held.join(bounded(groups.select(*GROUP, "group", "total", "kept", "lang_total")), GROUP).select(*LEADING)
+    return rows.mapInArrow(run, "group long, item binary, value long")
 
 
-def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least_docs: int = 3, ranks: int = 200, width: int = 1 << 16, wave: int = 8) -> DataFrame:
+def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", least_docs: int = 3, ranks: int = 200, width: int = 1 << 19, wave: int = 8) -> DataFrame:
     """lang, source, part, item, value, rank.
 
     Part `pair`: the group's divergence from each other group of its language,
@@ -258,14 +270,12 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     empty result, other columns play no part. `width` and `wave` bound a slice
     and a job and change no result.
     """
-    counts = counted(docs, lang, source, text).groupBy(*GROUP, "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = materialize(counts)
-    terms, sizes = vocabulary(counts, least_docs, width)
-    held = materialize(counts.drop("docs").join(terms.select("lang", "term", "slice", "id", "lang_n"), ["lang", "term"]))
+    held, sizes = kept_counts(docs, lang, source, text, least_docs, width)
     groups = members(docs, lang, source, sizes, held)
-    pairs = pair_divergences(vectors(held, groups, terms), wave)
-    leading = leading_terms(held, groups, ranks)
-    order = Window.partitionBy(*GROUP).orderBy(F.desc("value"), "item")
-    pairs = pairs.select(*GROUP, F.lit("pair").alias("part"), "item", "value", F.row_number().over(order).alias("rank"))
-    leading = leading.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= ranks)
+    pairs = pair_divergences(vectors(held, groups), wave)
+    order = F.desc("value"), "item"
+    place = F.row_number().over(Window.partitionBy("group").orderBy(*order))
+    leading = leading_terms(held, groups, ranks).withColumn("rank", place).where(F.col("rank") <= ranks)
+    leading = leading.join(bounded(groups.select(*GROUP, "group")), "group")
+    pairs = pairs.select(*GROUP, F.lit("pair").alias("part"), "item", "value", F.row_number().over(Window.partitionBy(*GROUP).orderBy(*order)).alias("rank"))
     return pairs.unionAll(leading.select(*GROUP, F.lit("term").alias("part"), F.col("item").cast("string"), "value", "rank"))
