@@ -9,8 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Published shapes of credentials, by name.
-SECRETS = {"aws_key": "AKIA[0-9A-Z]{16}", "github_token": "gh[pousr]_[A-Za-z0-9]{36}", "slack_token": "xox[baprs]-[A-Za-z0-9-]{10,}", "private_key": "-----BEGIN [A-Z ]*PRIVATE KEY-----"}
+#: Published shapes of credentials, by name.
+SECRETS = {
+    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
+    "aws_temporary_key": r"\bASIA[0-9A-Z]{16}\b",
+    "stripe_secret": r"\bsk_live_[0-9a-zA-Z]{24,}\b",
+    "stripe_restricted": r"\brk_live_[0-9a-zA-Z]{24,}\b",
+    "stripe_webhook": r"\bwhsec_[0-9a-zA-Z]{24,}\b",
+    "openai_project": r"\bsk-proj-[A-Za-z0-9_-]{20,}\b",
+    "openai_service": r"\bsk-svcacct-[A-Za-z0-9_-]{20,}\b",
+    "openai_key": r"\bsk-[A-Za-z0-9]{20,}\b",
+    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{36}\b",
+    "github_fine_grained": r"\bgithub_pat_[A-Za-z0-9_]{22,}\b",
+}
 
 
 @F.pandas_udf(T.StringType())

@@ -145,13 +145,20 @@ def pin_file_check(pins: DataFrame) -> DataFrame:
     return pins.withColumn("before", before).select("file", "line", finding.alias("finding")).where("finding is not null")
 
 
-def route_pins(pins: DataFrame, tapes: DataFrame) -> DataFrame:
-    """(pin, tape): a pin (pin, side, ns) goes to the tapes (tape, side, ns) of its side, else of its namespace, else to all."""
+def route_pins(pins: DataFrame, tapes: DataFrame, most: int = 2) -> DataFrame:
+    """(pin, tape): a pin (pin, side, ns) goes to the tapes (tape, side, ns) of its side, else of its namespace, else to all.
+
+    A comparison has two tapes, an agent's and a tool's; more than `most` are
+    refused (ValueError), as a pin without side and namespace names none of them.
+    """
+    names = [r["tape"] for r in tapes.select("tape").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"a comparison has at most {most} tapes")
     by_side = pins.join(tapes.select("side", "tape"), "side").select("pin", "tape")
     rest = pins.join(by_side.select("pin").distinct(), "pin", "left_anti")
     by_ns = rest.join(tapes.select("ns", "tape"), "ns").select("pin", "tape")
     lost = rest.join(by_ns.select("pin").distinct(), "pin", "left_anti").select("pin")
-    every = lost.crossJoin(F.broadcast(tapes.select("tape").limit(2)))  # two tapes, an agent's and a tool's
+    every = lost.select("pin", F.explode(F.array(*map(F.lit, names)).cast(f"array<{tapes.schema['tape'].dataType.simpleString()}>")).alias("tape"))
     return by_side.unionAll(by_ns).unionAll(every)
 
 

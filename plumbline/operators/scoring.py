@@ -5,43 +5,86 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Points of a calibration item; row caps that a table is halved through; the size below which a delta is noise.
-POINTS = {"correct": 1.0, "idk_unanswerable": 1.0, "idk_answerable": 0.2, "wrong": 0.0}
-ROW_CAPS, SMALL = (40, 20, 10, 5, 4), 30
-#: Types of scoring.
+#: Types of scoring, points of a calibration item, row caps that a table is halved through, the size below which a delta is noise.
 KINDS = ("exact_match", "numeric_tolerance", "calibration")
-#: Phrases that say an answer is not known.
-ABSTAINS = r"\b(?:i (?:do not|don't|dont) know|not sure|no idea|cannot (?:say|answer)|unknown)\b"
-#: Shortest secret, least bits a character, and words that mark a placeholder.
-SECRET_LENGTH, SECRET_BITS, PLACEHOLDERS = 16, 3.0, ("example", "changeme", "placeholder", "your", "xxxx", "dummy")
+POINTS = {"correct": 1.0, "wrong": -1.0, "idk_answerable": 0.2, "idk_unanswerable": 1.0}
+ROW_CAPS, SMALL = (40, 20, 10, 5, 4), 30
+#: A whole number (sign, thousands, fraction, exponent), and what a terminal adds to a text.
+NUMBER = r"(?<![\w.])[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?(?:[eE][-+]?\d+)?(?![\w.]*\d)"
+TERMINAL = r"\x1b(?:\[[0-9;?]*[a-zA-Z]|[()][0-9A-B]|[=>])"
+#: Phrases that say an answer is not known.
+ABSTAINS = [
+    r"\bi\s*don'?t\s*know\b",
+    r"\bi\s*do\s*not\s*know\b",
+    r"\bno\s*idea\b",
+    r"\bnot\s*(?:enough|sufficient)\s*information\b",
+    r"\bcannot\s*(?:be\s*)?determin",
+    r"\bcan'?t\s*(?:be\s*)?determin",
+    r"\bunable\s*to\s*(?:determine|answer|know)\b",
+    r"\bunanswerable\b",
+    r"\bnot\s*answerable\b",
+    r"\bimpossible\s*to\s*(?:know|determine|answer)\b",
+    r"\bi'?m\s*not\s*sure\b",
+    r"\bi\s*am\s*not\s*sure\b",
+    r"\bunknown\b",
+    r"\bunknowable\b",
+    r"\bn\s*/\s*a\b",
+    r"\bno\s*way\s*(?:to|of)\s*know",
+    r"\bcannot\s*say\b",
+]
+#: Shortest secret, least bits a character, words that mark a placeholder, names that mean a secret, prefixes of keys that are public.
+SECRET_LENGTH, SECRET_BITS = 16, 3.5
+PLACEHOLDERS = ("changeme", "change_me", "replace", "placeholder", "your", "example", "sample", "dummy", "insert", "redacted", "todo", "notreal", "xxxx", "aaaa", "<", ">", "${", "{{", "...")
+SECRET_NAME = r"(?i)(_KEY|_TOKEN|_SECRET|_CREDENTIAL|_PASSWORD|APIKEY|PASSWORD)$"
+SECRET_NAMES = ("authorization", "token", "secret", "password", "passwd", "apikey", "api_key", "api-key", "x-api-key", "access_token")
+PUBLIC = ("sk_test_", "rk_test_", "pk_test_", "pk_live_", "whsec_test_")
+#: Fixed value: a line that sets a variable.
+ENV_LINE = r"^([A-Z][A-Z0-9_]*)\s*=\s*(\S{8,})$"
 
 
 def plain_answer(text: Column) -> Column:
-    """Lower-cased, white space collapsed, without full stops, exclamation and question marks at the end."""
-    return F.regexp_replace(F.regexp_replace(F.trim(F.lower(text)), r"\s+", " "), r"[.!?]+$", "")
+    """Without what a terminal adds, lower-cased, white space collapsed, without full stops, exclamation and question marks at the end."""
+    collapsed = F.trim(F.regexp_replace(F.regexp_replace(text, TERMINAL, ""), r"(?U)\s+", " "))
+    return F.regexp_replace(F.lower(collapsed), r"[.!?]+$", "")
 
 
 def holds_token(text: Column, answer: Column) -> Column:
     """Whether an answer stands in a text as a token of its own: not inside a word, nor as part of a longer number."""
-    quoted = F.regexp_replace(answer, r"([^A-Za-z0-9 ])", r"\\$1")
-    return (answer != "") & F.regexp_like(text, F.concat(F.lit(r"(^|[^\w.])"), quoted, F.lit(r"($|[^\w.,]|[.,]($|[^0-9]))")))
+    quoted = F.concat(F.lit(r"\Q"), F.replace(answer, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    return (answer != "") & F.regexp_like(text, F.concat(F.lit(r"(?U)(?<!\w)(?<![\d.])"), quoted, F.lit(r"(?!\w)(?![.,]?\d)")))
 
 
 def holds_number(text: Column, value: Column, tolerance: float) -> Column:
-    """Whether any number in a text lies within the tolerance."""
-    return F.exists(F.regexp_extract_all(text, F.lit(r"(-?[0-9]+(?:\.[0-9]+)?)"), 1), lambda x: F.abs(x.cast("double") - value) <= tolerance)
+    """Whether any whole number in a text lies within the tolerance; thousands and exponents are read, parts of other numbers aren't."""
+    found = F.regexp_extract_all(F.regexp_replace(text, TERMINAL, ""), F.lit(f"(?U)({NUMBER})"), 1)
+    return F.exists(found, lambda x: F.coalesce(F.abs(F.replace(x, F.lit(","), F.lit("")).try_cast("double") - value) <= tolerance, F.lit(False)))
 
 
 def abstains(text: Column) -> Column:
-    return text.rlike(ABSTAINS)
+    """Of a plain answer: whether it says that the answer is not known."""
+    return text.rlike("(?iU)" + "|".join(ABSTAINS))
 
 
-def score_item(kind: Column, text: Column, answer: Column, number: Column, answerable: Column, tolerance: float = 0.5) -> Column:
-    """Points by the item's kind: exact, numeric or calibration; null where nothing was answered (an error, not a zero)."""
-    said = plain_answer(text)
-    right = holds_token(said, plain_answer(answer))
-    calibrated = F.when(answerable & right, POINTS["correct"]).when(abstains(said), F.when(answerable, POINTS["idk_answerable"]).otherwise(POINTS["idk_unanswerable"])).otherwise(POINTS["wrong"])
-    return F.when(text.isNull(), F.lit(None).cast("double")).when(kind == "exact", right.cast("double")).when(kind == "numeric", holds_number(said, number, tolerance).cast("double")).otherwise(calibrated)
+def score_item(kind: Column, text: Column, answer: Column, number: Column, answerable: Column, tolerance: float = 1e-6, distractors: Column | None = None) -> Column:
+    """Points by the item's kind (KINDS; any other is an error); null where nothing was answered (an error, not a zero).
+
+    An answer that also names one of the item's distractors (known wrong
+    answers) only lists what it could be: no match, and for a calibration item
+    no more than an abstention.
+    """
+    said, plain = plain_answer(text), plain_answer(answer)
+    hit = F.coalesce((plain != "") & ((said == plain) | holds_token(said, plain)), F.lit(False))
+    listed = F.lit(False) if distractors is None else hit & F.coalesce(F.exists(distractors, lambda d: holds_token(said, plain_answer(d))), F.lit(False))
+    right = hit & ~listed
+    idk = F.when(answerable, POINTS["idk_answerable"]).otherwise(POINTS["idk_unanswerable"])
+    calibrated = F.when(answerable & right, POINTS["correct"]).when((answerable & listed) | abstains(said), idk).otherwise(POINTS["wrong"])
+    return (
+        F.when(text.isNull(), F.lit(None).cast("double"))
+        .when(kind == "exact_match", right.cast("double"))
+        .when(kind == "numeric_tolerance", holds_number(text, number, tolerance).cast("double"))
+        .when(kind == "calibration", calibrated)
+        .otherwise(F.raise_error(F.concat(F.lit("unknown scoring type "), F.coalesce(kind, F.lit("null")))).cast("double"))
+    )
 
 
 def compare_runs(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -141,22 +184,40 @@ def redacted(secret: Column) -> Column:
 
 
 def live_secret(value: Column) -> Column:
-    """Long enough, no white space, no placeholder, letters and digits, and as many bits a character as a credential has."""
+    """Long enough, no white space, neither public nor a placeholder, letters and digits, and as many bits a character as a credential has."""
     low = F.lower(value)
     named = F.lit(False)
     for p in PLACEHOLDERS:
         named = named | F.contains(low, F.lit(p))
-    return (F.length(value) >= SECRET_LENGTH) & ~value.rlike(r"\s") & ~named & value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (bits(value) >= SECRET_BITS)
+    return (F.length(value) >= SECRET_LENGTH) & ~value.rlike(r"(?U)\s") & ~public_key(value) & ~named & value.rlike(r"\p{L}") & value.rlike(r"\p{Nd}") & (bits(value) >= SECRET_BITS)
+
+
+def public_key(value: Column) -> Column:
+    found = F.lit(False)
+    for p in PUBLIC:
+        found = found | value.startswith(p)
+    return found
+
+
+def secret_name(name: Column) -> Column:
+    return name.rlike(SECRET_NAME) | F.lower(name).isin(list(SECRET_NAMES))
+
+
+def vendor_hit(value: Column, shapes: dict[str, str]) -> Column:
+    """struct(shape, match) of the first published shape that a value holds; null where none, or where the value is a public key."""
+    found = [F.when(value.rlike(p), F.struct(F.lit(name).alias("shape"), F.regexp_extract(value, f"({p})", 1).alias("match"))) for name, p in shapes.items()]
+    return F.when(~public_key(value), F.coalesce(*found))
 
 
-def env_findings(rows: DataFrame, vendor: str) -> DataFrame:
-    """(key, line, name, level, shown) of NAME=value lines: a vendor's shape is high, a secret's name with a live value medium."""
-    lines = rows.select("key", F.posexplode(F.split("text", "\n")).alias("line", "raw"))
-    part = lambda i: F.regexp_extract(F.trim("raw"), r"^(?:export )?([A-Za-z_][A-Za-z0-9_]*)=(.+)$", i)
+def env_findings(rows: DataFrame, shapes: dict[str, str]) -> DataFrame:
+    """(key, line, name, level, what, shown) of NAME=value lines: a vendor's shape is high, a secret's name with a live value medium."""
+    lines = rows.select("key", F.posexplode(F.split("text", "\r\n|\n|\r")).alias("line", "raw"))
+    part = lambda i: F.regexp_extract(F.trim("raw"), ENV_LINE, i)
     named = lines.select("key", (F.col("line") + 1).alias("line"), part(1).alias("name"), F.trim(part(2), F.lit("'\"")).alias("value")).where("name <> ''")
-    secret = F.lower("name").rlike("secret|token|passw|api_?key")
-    level = F.when(F.col("value").rlike(vendor), "high").when(secret & live_secret(F.col("value")), "medium")
-    return named.select("key", "line", "name", level.alias("level"), redacted(F.col("value")).alias("shown")).where("level is not null")
+    named = named.withColumn("hit", vendor_hit(F.col("value"), shapes))
+    level = F.when(F.col("hit").isNotNull(), "high").when(secret_name(F.col("name")) & live_secret(F.col("value")), "medium")
+    shown = redacted(F.coalesce("hit.match", "value"))
+    return named.select("key", "line", "name", level.alias("level"), F.coalesce("hit.shape", F.lit("live_value")).alias("what"), shown.alias("shown")).where("level is not null")
 
 
 def reconciles(version: Column, pre: Column, kept: Column, dropped: Column, introduced: Column, post: Column) -> Column:

@@ -3,8 +3,10 @@
 import random
 from collections import defaultdict
 
+import pytest
+
 from plumbline.functions import canon
-from plumbline.operators import tapes
+from plumbline.operators import receipts, tapes
 
 
 def longest(values):
@@ -73,3 +75,13 @@ def test_canonical_numbers_and_strings():
         except ValueError:
             continue
         raise AssertionError(bad)
+
+
+def test_a_third_tape_is_refused(spark):
+    pins = spark.createDataFrame([("p", "agent", None), ("q", None, "n"), ("r", None, None)], "pin string, side string, ns string")
+    tapes = [("t1", "agent", "n"), ("t2", "tool", "m"), ("t3", "tool", "n")]
+    got = receipts.route_pins(pins, spark.createDataFrame(tapes[:2], "tape string, side string, ns string"))
+    assert sorted(map(tuple, got.collect())) == [("p", "t1"), ("q", "t1"), ("r", "t1"), ("r", "t2")]
+    with pytest.raises(ValueError, match="at most 2"):
+        receipts.route_pins(pins, spark.createDataFrame(tapes, "tape string, side string, ns string"))
+    assert receipts.route_pins(pins, spark.createDataFrame([], "tape string, side string, ns string")).collect() == []
