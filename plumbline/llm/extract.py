@@ -11,15 +11,19 @@ block is the same, copies of one article, count as one page.
 What the runs decide:
 
 - a zone of a host most of whose runs repeat across its pages is boilerplate,
-  also where one page's text in it is unique; a host with few pages, or with a
-  share that says neither, takes the zone's share over all hosts;
+  also where one page's text in it is unique; one that hardly repeats is none,
+  whatever its name; a host with few pages, or with a share that says neither,
+  takes the zone's share over all hosts;
 - in text that no element marks as content or as furniture, words covered by
   repeated runs go and the unique runs stay.
 
-Names of elements and classes only break ties: text that is unique but stands
-in a menu, footer, sidebar, form, advert or reader comment goes; repeated text
-in the undecorated paragraphs of an article is a copied passage and stays; and
-beside an article, unmarked text goes.
+Names of elements and classes decide where the runs say neither: then text in a
+menu, footer, sidebar, form or advert goes. A class is such a name only as a
+whole: every part of it has to be one, so that `related-work` and `share-prices`
+are none, and the class of a paragraph or heading never is. Names alone tell
+reader comments, which are unique like articles. Repeated text in the
+undecorated paragraphs of an article is a copied passage and stays; and beside
+an article, all else goes.
 
 Hosts with much text are dealt to shards; each has a suffix array of its own.
 Zones' shares are summed over the shards, runs of unmarked text are counted
@@ -47,7 +51,8 @@ from pyspark.sql import types as T
 from plumbline.llm.common import materialize, pieces, small_batches, texts, with_columns
 
 LENGTH = 8
-CONTENT, OPEN, FURNITURE = 2, 1, 0
+#: Zones by their names: content, furniture named inside of content, neither, furniture, reader comments.
+CONTENT, INNER, OPEN, FURNITURE, COMMENTS = 3, 2, 1, 0, -1
 NAME = re.compile(r"[a-zA-Z][^\s/><]*")
 QUOTED = re.compile(r"=\s*([\"'])")
 #: Elements whose text nobody reads, up to their end tag.
@@ -70,6 +75,13 @@ STRONG = set(
 )
 WEAK = set("banner notice notices alert side menu footer foot header toolbar tags copyright legal disclaimer dialog".split())
 GOOD = set("content article post entry main story text body".split())
+#: Words that say nothing of what they are part of.
+PLAIN = set(
+    "box bar bars list lists item items link links button buttons block wrap wrapper container area section inner outer top bottom left right panel col row icon icons slot unit module "
+    "post posts article articles story stories page site main global mobile desktop sticky title heading header head text body content count thread form id".split()
+)
+#: Elements that hold the text itself; their classes name what it says, not where it stands.
+TEXTUAL = set("p h1 h2 h3 h4 h5 h6 pre blockquote li td th dd dt figcaption address summary caption".split())
 COMMENT = {"comment", "comments", "reply", "replies", "disqus", "respond"}
 LABEL = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 PART = re.compile(r"[a-z]+")
@@ -144,12 +156,20 @@ class _Open:
 
 
 def _labels(attributes: str) -> tuple[set[str], str]:
-    """The words in class, id and role; and the first class or id itself, without digits."""
+    """The words of class, id and role whose name they make up whole; and the first class or id itself, without digits.
+
+    A name in several parts counts by those that say something, if each of them
+    is a word for furniture, comments or content.
+    """
     words: set[str] = set()
     first = ""
     for found in LABEL.finditer(attributes):
         value = (found[2] or found[3] or found[4] or "").lower()
-        words.update(PART.findall(value))
+        for name in value.split():
+            parts = set(PART.findall(name))
+            telling = parts - PLAIN or parts
+            if telling <= STRONG or telling <= WEAK or telling <= COMMENT or telling <= GOOD:
+                words |= telling
         if found[1].lower() == "role" and value.strip() == "main":
             words.add("role=main")
         if not first and found[1].lower() != "role":
@@ -159,18 +179,23 @@ def _labels(attributes: str) -> tuple[set[str], str]:
 
 def _prior(name: str, words: set[str], above: int) -> int:
     """The zone that names alone would give."""
+    if above == COMMENTS:
+        return above
     if name == "main" and not words & COMMENT:
         return CONTENT
-    if above == FURNITURE or name in ASIDE:
-        return FURNITURE
-    if name == "article":
-        return FURNITURE if words & COMMENT else CONTENT
-    if name in ("body", "html"):
+    if words & COMMENT and name not in TEXTUAL:
+        return COMMENTS
+    if above in (FURNITURE, INNER) or name in ("body", "html"):
         return above
+    furniture = INNER if above == CONTENT else FURNITURE
+    if name in ASIDE:
+        return furniture
+    if name == "article":
+        return CONTENT
     if name == "header" and above != CONTENT:
-        return FURNITURE
-    if words and not words & GOOD and (words & STRONG or above == OPEN and words & WEAK):
-        return FURNITURE
+        return furniture
+    if name not in TEXTUAL and not words & GOOD and (words & STRONG or above == OPEN and words & WEAK):
+        return furniture
     return CONTENT if "role=main" in words else above
 
 
@@ -306,6 +331,11 @@ def zone_hash(path: str) -> int:
     return _hash("zone\0" + path)
 
 
+def cleared_hash(path: str) -> int:
+    """Of a zone that hardly repeats."""
+    return ~zone_hash(path)
+
+
 def segments(page: list[Block]) -> list[tuple[str, bool, list[str], list[int]]]:
     """(path, unmarked, lower-cased words, words of each block) of the page's segments.
 
@@ -373,7 +403,7 @@ def shard_runs(pages: list[tuple[int, list]], length: int = LENGTH) -> tuple[lis
 
 def page_items(page: list[Block], length: int = LENGTH) -> set[int]:
     """Hashes of all that could be known of a page: its zones, and the runs of its unmarked text."""
-    found = {zone_hash(b[2]) for b in page}
+    found = {h(b[2]) for b in page for h in (zone_hash, cleared_hash)}
     for _, unmarked, words, _ in segments(page):
         if unmarked:
             found.update(run_hash(words[i : i + length]) for i in range(max(1, len(words) - length + 1)))
@@ -411,22 +441,23 @@ def covered(page: list[Block], known, length: int = LENGTH) -> list[np.ndarray |
 
 
 def main_text(page: list[Block], known, length: int = LENGTH) -> str:  # noqa: ANN001
-    """The blocks that stay, joined by empty lines. known: hashes of the host's boilerplate zones and runs."""
+    """The blocks that stay, joined by empty lines. known: hashes of the host's boilerplate zones and runs, and of its zones that are none."""
     article = any(b[1] == CONTENT for b in page)
     marks = [None] * len(page) if article else covered(page, known, length)
     kept = []
     for (text, zone, path, decorated), mark in zip(page, marks):
+        if zone == COMMENTS or article and zone in (OPEN, FURNITURE):
+            continue
         if zone_hash(path) in known and not (zone == CONTENT and not decorated):
             # an unmarked zone without class or id may hold both: there each run counts
-            if zone != OPEN or article or "." in path:
+            if zone != OPEN or "." in path:
                 continue
-        if zone == CONTENT:
+        elif zone in (FURNITURE, INNER) and cleared_hash(path) not in known:
+            continue
+        if mark is None or not mark.any():
             kept.append(text)
-        elif zone == OPEN and not article:
-            if not mark.any():
-                kept.append(text)
-            elif not mark.all():
-                kept.append(" ".join(w for w, m in zip(text.split(), mark) if not m))
+        elif not mark.all():
+            kept.append(" ".join(w for w, m in zip(text.split(), mark) if not m))
     return "\n\n".join(kept)
 
 
@@ -506,19 +537,22 @@ def evidence(pages: DataFrame, length: int = LENGTH, shard_bytes: int = 4 << 20)
 
 
 def boilerplate(found: DataFrame, share: float = 0.5, clear: float = 0.1, few: int = 8) -> DataFrame:
-    """(host, item): the host's boilerplate zones and runs, of its evidence.
+    """(host, item): what the evidence says of the host's zones, boilerplate or cleared, and its repeated runs.
 
     A host with `few` pages or more in a zone decides by itself if `share` of
     the zone's runs repeat, or less than `clear` of them; else the zone's share
-    over all hosts with as many pages decides.
+    over all hosts with as many pages decides, by the same bounds. Of a zone
+    between them nothing is said.
     """
     zones = found.where("path is not null").groupBy("host", "path", "item").agg(*[F.sum(c).alias(c) for c in ("pages", "runs", "repeated")])
     enough = F.col("pages") >= few
-    everywhere = zones.where(enough).groupBy("path").agg((F.sum("repeated") >= share * F.sum("runs")).alias("pooled"))
-    own = F.col("repeated") / F.col("runs")
-    judged = zones.join(everywhere, "path", "left").where(F.when(enough & (own >= share), True).when(enough & (own < clear), False).otherwise(F.coalesce("pooled", F.lit(False))))
+    everywhere = zones.where(enough).groupBy("path").agg((F.sum("repeated") / F.sum("runs")).alias("pooled"))
+    own = F.when(enough, F.col("repeated") / F.col("runs"))
+    decided = F.coalesce(F.when((own >= share) | (own < clear), own), "pooled")
+    item = F.when(decided >= share, F.col("item")).when(decided < clear, F.bitwise_not("item"))
+    judged = zones.join(everywhere, "path", "left").select("host", item.alias("item")).where("item is not null")
     runs = found.where("path is null").groupBy("host", "item").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    return judged.select("host", "item").unionAll(runs.select("host", "item"))
+    return judged.unionAll(runs.select("host", "item"))
 
 
 def _page_id(column: str = "html") -> list[Column]:
