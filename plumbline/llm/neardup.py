@@ -12,8 +12,10 @@ bears on the cost alone. Of a shingle's texts each first meets the leader; then,
 where these links leave more than one group, the texts outside of its largest
 group meet all texts of other groups. Pairs count as far as enough shingles
 stand behind the shared one in both and as their parity bits, of which each
-shingle toggles one, are close enough to belong to similar sets. No shingle has
-a cap, and every candidate left is settled by its whole sets.
+shingle toggles one, are close enough to belong to similar sets. What is left is
+pruned once more by as many parity bits as fit the sets' size, before any text
+moves. No shingle has a cap, and every candidate left is settled by its whole
+sets.
 """
 
 from __future__ import annotations
@@ -48,9 +50,20 @@ def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
     return np.concatenate([found[~late], found[late]])[: n + (-SIMILAR[0] * n // SIMILAR[1]) + 1] if n else found
 
 
-def parity(found: np.ndarray) -> bytes:
-    """BITS bits, each toggled by the shingles that fall on it: two sets differ in at least as many shingles as these in bits."""
-    return np.packbits(np.bincount(found & (BITS - 1), minlength=BITS).astype(np.uint8) & 1).tobytes()
+def parity(found: np.ndarray, bits: int = BITS) -> bytes:
+    """So many bits (a power of two), each toggled by the shingles that fall on it: two sets differ in at least as many shingles as these in bits."""
+    return np.packbits(np.bincount(found & (bits - 1), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """Parity bits, at least twice as many as shingles."""
+    return parity(found, max(BITS, 1 << (2 * len(found)).bit_length()))
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Differing bits of two sketches, at the width of the narrower: half a sketch is both of its halves put together."""
+    a, b = (np.frombuffer(v, np.uint8) for v in sorted((x, y), key=len))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(b.reshape(-1, len(a))) ^ a).sum())
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -75,7 +88,7 @@ def common_shingles(rows: DataFrame, width: int) -> np.ndarray:
 
 
 def sets(rows: DataFrame, common: np.ndarray, width: int) -> DataFrame:
-    """(place, n, sig, size, prefix, bits) of rows (place, n, text)."""
+    """(place, n, sig, size, prefix, bits, sketch) of rows (place, n, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", max_bytes=8 << 20):
@@ -85,16 +98,31 @@ def sets(rows: DataFrame, common: np.ndarray, width: int) -> DataFrame:
                 pa.array([len(s) for s in found], pa.int32()),
                 pa.array([prefix(s, common) for s in found], pa.list_(pa.int64())),
                 pa.array([np.frombuffer(parity(s), np.int64) for s in found], pa.list_(pa.int64())),
+                pa.array([sketch(s) for s in found], pa.binary()),
             ]
             keep = [batch.column(batch.schema.get_field_index(k)) for k in ("place", "n")]
-            yield pa.RecordBatch.from_arrays([*keep, *new], names=["place", "n", "sig", "size", "prefix", "bits"])
+            yield pa.RecordBatch.from_arrays([*keep, *new], names=["place", "n", "sig", "size", "prefix", "bits", "sketch"])
 
-    schema = T.StructType([rows.schema["place"], rows.schema["n"]]).add("sig", T.BinaryType()).add("size", T.IntegerType()).add("prefix", T.ArrayType(T.LongType())).add("bits", T.ArrayType(T.LongType()))
+    schema = T.StructType([rows.schema["place"], rows.schema["n"]]).add("sig", T.BinaryType()).add("size", T.IntegerType()).add("prefix", T.ArrayType(T.LongType())).add("bits", T.ArrayType(T.LongType())).add("sketch", T.BinaryType())
     return rows.select("place", "n", "text").transform(small_batches).mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """Of candidates (a, b), numbers of rows (n, text), the similar ones.
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes (node, size, sketch) that can be similar by their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sizes", "a_sketch", "b_sketch"))
+            good = [apart(u, v) * sum(SIMILAR) <= n * (SIMILAR[1] - SIMILAR[0]) for n, u, v in zip(sizes, x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda end: nodes.select(F.col("node").alias(end), F.col("size").alias(f"{end}_size"), F.col("sketch").alias(f"{end}_sketch"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", (F.col("a_size") + F.col("b_size")).alias("sizes"), "a_sketch", "b_sketch")
+    return materialize(met.transform(small_batches).mapInArrow(run, "a long, b long"))
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """Of candidates (a, b), numbers of rows (n, text) and of nodes (node, size, sketch), the similar ones.
 
     Texts meet, not their sets: hashes don't compress, and take over twice the
     room of the words that they are made of.
@@ -111,6 +139,7 @@ def verified(pairs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
             good = [similar(known[x], known[y]) for x, y in zip(a, b)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    pairs = possible(pairs, nodes)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
     named = materialize(rows.join(ends, "n", "left_semi").select("n", "text"))
     met = pairs.join(named.select(F.col("n").alias("a"), F.col("text").alias("a_text")), "a").join(named.select(F.col("n").alias("b"), F.col("text").alias("b_text")), "b")
@@ -136,7 +165,7 @@ def _pruned(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def links(nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
-    """Pairs (a, b) of nodes (node, size, prefix) that connect all similar ones, directly or over others."""
+    """Pairs (a, b) of nodes (node, size, prefix, bits, sketch) that connect all similar ones, directly or over others."""
     at = nodes.select("node", "size", F.posexplode("prefix").alias("at", "h"))
     several = materialize(at.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"))
     shared = materialize(at.join(several, "h"))
@@ -144,7 +173,7 @@ def links(nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     met = shared.join(led, "h").select(F.col("lead.node").alias("x"), F.col("lead.size").alias("x_size"), F.col("lead.at").alias("x_at"), F.col("node").alias("y"), F.col("size").alias("y_size"), F.col("at").alias("y_at"))
     spark = nodes.sparkSession
     tried = materialize(met.where((F.col("x") < F.col("y")) & _close("x", "y")).select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
-    first = settled(spark, lambda: verified(materialize(_pruned(tried, nodes)), rows, width))
+    first = settled(spark, lambda: verified(materialize(_pruned(tried, nodes)), nodes, rows, width))
     roots = settled(spark, lambda: components(first))
     member = materialize(shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     groups = member.groupBy("h", "root").agg(F.count("*").alias("k"))
@@ -154,7 +183,7 @@ def links(nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     left, right = apart.where("root <> most").select("h", *side("x")), apart.select("h", *side("y"))
     rest = left.join(right, "h").where((F.col("x_root") != F.col("y_root")) & _close("x", "y") & _alike("x", "y"))
     rest = rest.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    return first.unionAll(verified(materialize(rest.join(tried, ["a", "b"], "left_anti")), rows, width))
+    return first.unionAll(verified(materialize(rest.join(tried, ["a", "b"], "left_anti")), nodes, rows, width))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
@@ -173,7 +202,7 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     found = materialize(sets(plain, common_shingles(plain, width), width))
     first = found.groupBy("sig").agg(F.min(F.struct("place", "n")).alias("first")).select("first.n")
     copies = materialize(found.select("n").join(first, "n", "left_anti"))
-    nodes = found.join(copies, "n", "left_anti").select(F.col("n").alias("node"), "place", "size", "prefix", "bits")
+    nodes = found.join(copies, "n", "left_anti").select(F.col("n").alias("node"), "place", "size", "prefix", "bits", "sketch")
     pairs = settled(spark, lambda: links(materialize(nodes), plain, width))
     roots = settled(spark, lambda: components(pairs))
     linked = materialize(nodes.select("node", "place").join(roots, "node"))
