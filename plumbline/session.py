@@ -32,15 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and checkpointed in the shared folder, its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
 
-    The folder is spark.checkpoint.dir. Where it is unset, a local master gets a
-    temporary one that goes with the process; a cluster is refused (ValueError).
+    Where it is unset, a local master gets a temporary one that goes with the
+    process; a cluster is refused (ValueError).
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
@@ -48,4 +48,10 @@ def settled(df: DataFrame) -> DataFrame:
             atexit.register(shutil.rmtree, made, ignore_errors=True)
             folder = "file://" + made
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and checkpointed in the shared folder, its lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
