@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from plumbline.functions import textual
 from plumbline.session import settled
 
 #: Bits in which candidates may differ, and the least overlap.
 BITS, OVERLAP = 12, 0.95
+PARITY, GROUP = 1024, 1 << 20
 
 
 @lru_cache(1 << 16)
@@ -43,26 +45,153 @@ def fingerprint(text: pd.Series) -> pd.Series:
     return text.map(lambda t: simhash(t or ""))
 
 
-def links(items: DataFrame, overlap: float = OVERLAP, bits: int = BITS) -> DataFrame:
-    """(a, b), a < b, of items (id, x: different normalized texts) that are near each other.
+def _sets(text: str) -> tuple[set[str], set[str]]:
+    """4-grams of a normalized text (the whole where it is shorter) and its adjacent word pairs."""
+    words = text.split(" ")
+    grams = {text[i : i + 4] for i in range(max(1, len(text) - 3))} if text else set()
+    return grams, set(zip(words, words[1:]))
 
-    An overlap is no more than the Jaccard similarity of the 4-gram sets, so
-    near texts share one of the rarest n - ceil(overlap * n) + 1 grams of each;
-    candidates of unlike size go, and overlap and fingerprints settle the rest.
+
+def _jaccard(a: set, b: set) -> float:
+    both = len(a & b)
+    return both / (len(a) + len(b) - both) if a or b else 1.0
+
+
+@F.pandas_udf(T.DoubleType())
+def overlap_of(x: pd.Series, y: pd.Series) -> pd.Series:
+    """textual.overlap of two different normalized texts that aren't empty."""
+    return pd.Series([min(0.9995, *map(_jaccard, _sets(a), _sets(b))) for a, b in zip(x, y)], dtype=float)
+
+
+@F.pandas_udf(T.StructType([T.StructField("parts", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType()))]))
+def _described(text: pd.Series) -> pd.DataFrame:
+    """Hashes of a text's word pairs, of its 4-grams where it is one word, and bits that each of them toggles."""
+    parts, bits = [], []
+    for t in text:
+        grams, pairs = _sets(t)
+        found = [f"{a} {b}" for a, b in pairs] or grams
+        hashes = np.array([xxh64_intdigest(g, 1 if pairs else 2) for g in found], np.uint64).view(np.int64)
+        odd = np.bincount(hashes & (PARITY - 1), minlength=PARITY).astype(np.uint8) & 1
+        parts.append(np.unique(hashes))
+        bits.append(np.packbits(odd).view(np.int64))
+    return pd.DataFrame({"parts": parts, "bits": bits})
+
+
+def described(items: DataFrame) -> DataFrame:
+    """(id, x, fp, parts, n, bits) of items (id, x: different normalized texts); what an empty text has in common with others is nothing."""
+    found = items.where("x <> ''").select("id", "x", fingerprint("x").alias("fp"), _described("x").alias("d"))
+    return found.select("id", "x", "fp", "d.parts", F.size("d.parts").alias("n"), "d.bits")
+
+
+def prefixes(texts: DataFrame, overlap: float) -> DataFrame:
+    """(g, id, n): of each text the rarest n - ceil(overlap * n) + 1 parts, of which near texts share one.
+
+    An overlap is no more than the Jaccard similarity of the word pairs, or of
+    the 4-grams of single words. Parts of one text only come first in the order,
+    so what is left of a prefix are shared ones.
     """
-    grams = items.where("x <> ''").select("id", F.explode(textual.char_grams(F.col("x"))).alias("g"))
-    rare = grams.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    sizes = grams.groupBy("id").agg(F.count("*").alias("n"))
-    met = grams.join(rare, "g").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("common")).join(sizes, "id")
-    # grams of one text only come first in the order; what is left of the prefix are common ones
+    parts = texts.select("id", "n", F.explode("parts").alias("g"))
+    rare = parts.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    met = parts.join(rare, "g").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("common"))
     keep = F.col("n") - F.ceil(F.col("n") * overlap) + 1 - (F.col("n") - F.size("common"))
-    prefix = met.where(keep > 0).select("id", "n", F.explode(F.slice("common", F.lit(1), keep.cast("int"))).alias("c")).select("id", "n", "c.g")
-    a, b = prefix.select("g", F.col("id").alias("a"), F.col("n").alias("an")), prefix.select("g", F.col("id").alias("b"), F.col("n").alias("bn"))
-    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("an", "bn") >= overlap * F.greatest("an", "bn"))).select("a", "b").distinct()
-    text = items.select("id", "x", fingerprint("x").alias("fp"))
-    both = pairs.join(text.withColumnsRenamed({"id": "a", "x": "ax", "fp": "af"}), "a").join(text.withColumnsRenamed({"id": "b", "x": "bx", "fp": "bf"}), "b")
-    near = (F.bit_count(F.col("af").bitwiseXOR(F.col("bf"))) <= bits) & (textual.overlap(F.col("ax"), F.col("bx")) >= overlap)
-    return both.where(near).select("a", "b")
+    return met.where(keep > 0).select("id", "n", F.explode(F.slice("common", F.lit(1), keep.cast("int"))).alias("c")).select("c.g", "id", "n")
+
+
+def near(pairs: DataFrame, texts: DataFrame, overlap: float = OVERLAP, bits: int = BITS) -> DataFrame:
+    """The candidates (a, b) that are near each other. Sizes, parity bits and fingerprints settle most before texts meet."""
+    side = lambda x, end: texts.select(F.col("id").alias(x), *[F.col(c).alias(f"{end}_{c}") for c in ("n", "fp", "bits")])
+    apart = sum(F.bit_count(F.get("a_bits", F.lit(i)).bitwiseXOR(F.get("b_bits", F.lit(i)))) for i in range(PARITY // 64))
+    alike = apart * (1 + overlap) <= (F.col("a_n") + F.col("b_n")) * (1 - overlap) + 1e-6
+    close = (F.least("a_n", "b_n") >= overlap * F.greatest("a_n", "b_n")) & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= bits)
+    left = settled(pairs.join(side("a", "a"), "a").join(side("b", "b"), "b").where(close & alike).select("a", "b").distinct())
+    text = lambda end: texts.select(F.col("id").alias(end), F.col("x").alias(f"{end}x"))
+    return left.join(text("a"), "a").join(text("b"), "b").where(overlap_of("ax", "bx") >= overlap).select("a", "b")
+
+
+def groups(edges: DataFrame) -> DataFrame:
+    """(id, root) of all linked items: the smallest id that they reach.
+
+    Every root hangs itself on its smallest neighbour; the paths that this makes
+    halve with every look at one's root's root.
+    """
+    both = settled(edges.unionAll(edges.select("b", "a")))
+    label = settled(both.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id")))
+    while True:
+        ends = both.join(label.select(F.col("id").alias("a"), F.col("root").alias("x")), "a").join(label.select(F.col("id").alias("b"), F.col("root").alias("y")), "b")
+        hooks = settled(ends.where("x > y").groupBy("x").agg(F.min("y").alias("y")))
+        if hooks.isEmpty():
+            return label
+        roots = settled(label.select("root").distinct().join(hooks.withColumnRenamed("x", "root"), "root", "left").select("root", F.coalesce("y", "root").alias("up")))
+        while True:
+            above = roots.select(F.col("root").alias("up"), F.col("up").alias("top"))
+            jumped = settled(roots.join(above, "up").select("root", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            roots = jumped.drop("moved")
+            if jumped.where("moved").isEmpty():
+                break
+        label = settled(label.join(roots, "root").select("id", F.col("up").alias("root")))
+
+
+def _first_come(group: pd.DataFrame) -> pd.DataFrame:
+    """Of one group's links: the items that join an earlier one, going by id."""
+    before: dict = {}
+    for a, b in zip(group["a"], group["b"]):
+        before.setdefault(b, []).append(a)
+    joined: set = set()
+    for b in sorted(before):
+        if any(a not in joined for a in before[b]):
+            joined.add(b)
+    return pd.DataFrame({"id": sorted(joined)}, dtype=group["b"].dtype)
+
+
+def joined_in(edges: DataFrame, most: int = GROUP) -> DataFrame:
+    """(id) of the items that join an earlier representative, of their links (a, b), a < b.
+
+    A linked group of up to `most` links is settled in one task; a larger one
+    in rounds over all of them.
+    """
+    edges = settled(edges)
+    root = groups(edges).withColumnRenamed("id", "a")
+    placed = settled(edges.join(root, "a"))
+    sizes = placed.groupBy("root").agg(F.count("*").alias("k"))
+    small = placed.join(sizes.where(F.col("k") <= most).select("root"), "root", "left_semi")
+    kind = edges.schema["b"].dataType.simpleString()
+    found = small.groupBy("root").applyInPandas(_first_come, f"id {kind}")
+    large = placed.join(sizes.where(F.col("k") > most).select("root"), "root", "left_semi")
+    if large.isEmpty():
+        return found
+    return found.unionAll(representatives(large.select("a", "b")).where("id <> rep").select("id"))
+
+
+def representatives_of(items: DataFrame, overlap: float = OVERLAP, bits: int = BITS, leader_rounds: int = 3) -> DataFrame:
+    """(id, rep) of the items (id, x: different normalized texts) that join a representative: the first one before them that they are near.
+
+    An item is a representative if no representative before it is near. In a
+    few rounds leaders, the first of all unsettled texts with which they share
+    a part, meet their followers, so that a large group of alike texts is never
+    paired with itself; links between what is left are found and gone through
+    by group. Then every item that has joined meets all representatives.
+    """
+    texts = settled(described(items))
+    entries = settled(prefixes(texts, overlap))
+    live, joined = entries, None
+    for _ in range(leader_rounds):
+        first = settled(live.groupBy("g").agg(F.min("id").alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"))
+        if first.isEmpty():
+            break
+        met = settled(live.join(first, "g").select("id", "first").distinct())
+        leaders = met.where("id = first").select("id").join(met.where("id > first").select("id"), "id", "left_anti").distinct()
+        follow = met.where("id > first").join(leaders.withColumnRenamed("id", "first"), "first", "left_semi").select(F.col("first").alias("a"), F.col("id").alias("b"))
+        gone = settled(near(follow, texts, overlap, bits).select(F.col("b").alias("id")).distinct())
+        joined = gone if joined is None else joined.unionAll(gone)
+        live = settled(live.join(gone.unionAll(leaders), "id", "left_anti"))
+    a, b = live.select("g", F.col("id").alias("a"), F.col("n").alias("an")), live.select("g", F.col("id").alias("b"), F.col("n").alias("bn"))
+    pairs = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("an", "bn") >= overlap * F.greatest("an", "bn"))).select("a", "b")
+    late = joined_in(near(pairs, texts, overlap, bits))
+    joined = settled(late if joined is None else joined.unionAll(late))
+    members = entries.join(joined, "id").select("g", F.col("id").alias("b"))
+    heads = entries.join(joined, "id", "left_anti").select("g", F.col("id").alias("a"))
+    found = near(heads.join(members, "g").where("a < b").select("a", "b"), texts, overlap, bits)
+    return found.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("rep"))
 
 
 def representatives(edges: DataFrame) -> DataFrame:
@@ -101,7 +230,7 @@ def dedupe(rows: DataFrame, keep: str = "first", overlap: float = OVERLAP, bits:
     """
     named = rows.select("id", F.length("text").alias("size"), F.coalesce(textual.normalized(F.col("text")), F.lit("")).alias("x"))
     items = named.groupBy("x").agg(F.min("id").alias("item"))
-    found = representatives(links(items.select(F.col("item").alias("id"), "x"), overlap, bits))
+    found = representatives_of(items.select(F.col("item").alias("id"), "x"), overlap, bits)
     owner = items.join(found.withColumnRenamed("id", "item"), "item", "left").select("x", F.coalesce("rep", "item").alias("rep"))
     every = named.join(owner, "x").select("id", "size", "rep")
     best = F.min("id") if keep == "first" else F.max_by("id", F.struct(F.coalesce("size", F.lit(0)), -F.col("id")))
