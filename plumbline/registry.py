@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of plumbline.plans; each has QUERIES (name: function) and ORACLE (name: SQL).
-PLANS = ["ledgers", "comparisons", "usage", "gating", "scoring", "receipts", "records", "sessions", "distilling", "access", "growth", "packs", "trail", "documents"]
+PLANS = ["ledgers", "comparisons", "usage", "gating", "scoring", "receipts", "records", "sessions", "distilling", "access", "growth", "packs", "trail", "documents", "snapshots"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
