@@ -5,8 +5,6 @@ import json
 import random
 import re
 
-from pyspark.sql import functions as F
-
 from plumbline.operators import lookups, readings
 from plumbline.sources import appending
 
