@@ -69,6 +69,36 @@ def compare(pins: DataFrame, rows: DataFrame, verdicts: DataFrame) -> DataFrame:
     return whole.select("namespace", n("pins").alias("pins"), word.alias("verdict"))
 
 
+def against_witness(pins: DataFrame, files: DataFrame, rows: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """(namespace, pins, verdict, witness) of each log against all pins that its witness holds.
+
+    pins: namespace, line, rows, chain, none left out; files: (namespace, ok)
+    what the pin file's own chain says, null or absent where that couldn't be
+    told. Before anything is compared, in this order: witness_broken (the file
+    fails its chain, and holds pins), witness_unreadable (one pin hasn't the
+    shape of one, so none is trusted), local_broken, witness_broken (two chains
+    at one row count); then as in `compare`. witness: verified, broken or
+    unestablished.
+    """
+    shaped = pins.withColumn("fine", strict(F.col("rows"), F.col("chain"), F.col("namespace")))
+    odd = shaped.groupBy("namespace").agg((F.count_if(~F.col("fine")) > 0).alias("unreadable"))
+    twice = equivocal(shaped.where("fine and rows > 0")).select("namespace", F.lit(True).alias("twice"))
+    own = files.groupBy("namespace").agg(F.min("ok").alias("file_ok"))
+    base = compare(shaped.where("fine").select(pins.columns), rows, verdicts)
+    held = pins.groupBy("namespace").agg(F.count("*").alias("held"))
+    met = base.join(odd, "namespace", "left").join(twice, "namespace", "left").join(own, "namespace", "left").join(held, "namespace", "left")
+    broken = ~F.coalesce("file_ok", F.lit(True)) & (F.coalesce("held", F.lit(0)) > 0)
+    word = (
+        F.when(broken, "witness_broken")
+        .when(F.coalesce("unreadable", F.lit(False)), "witness_unreadable")
+        .when(F.col("verdict") == "local_broken", "local_broken")
+        .when(F.coalesce("twice", F.lit(False)), "witness_broken")
+        .otherwise(F.col("verdict"))
+    )
+    witness = F.when(F.col("file_ok").isNull(), "unestablished").when(F.col("file_ok"), "verified").otherwise("broken")
+    return met.select("namespace", F.coalesce("held", F.lit(0)).alias("pins"), word.alias("verdict"), witness.alias("witness"))
+
+
 def gaps(pins: DataFrame, rows: DataFrame, limit: int = STALE_ROWS) -> DataFrame:
     """(namespace, gap, stale): rows past each namespace's latest pin; below zero if the log is shorter."""
     sizes = rows.groupBy(F.col("ledger_id").alias("namespace")).agg(F.count("*").alias("n"))

@@ -147,6 +147,19 @@ def wn_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pins.compare(taken, rebuilt, chain.verify(rebuilt.where("true")))
 
 
+def wn_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs, some cut, edited or broken, against witnesses, some of which hold odd pins or fail their own chain."""
+    rows = settled(chained(spark, sf_dir))
+    checked = pins.accepted(pin_rows(rows))
+    held = checked.where("reason is null or cast(namespace as long) % 5 = 0")
+    k = F.col("ledger_id").cast("long")
+    now = rows.where(~((k % 4 == 0) & (F.col("line") > 30)))
+    rebuilt = settled(now.withColumn("body", F.when((k % 11 == 0) & (F.col("line") == 2), F.concat("body", F.lit("!"))).otherwise(F.col("body"))))
+    files = rows.select(F.col("ledger_id").alias("namespace")).distinct().where("cast(namespace as long) % 3 <> 2")
+    files = files.withColumn("ok", F.when(F.col("namespace").cast("long") % 7 == 0, False).otherwise(True))
+    return pins.against_witness(held, files, rebuilt, chain.verify(rebuilt))
+
+
 def wn_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chained(spark, sf_dir)
     return pins.gaps(pin_rows(rows), rows, limit=5)
@@ -243,7 +256,7 @@ damaged AS (SELECT * FROM chained WHERE event_id % 67 <> 0 AND event_id % 59 <>
 unread AS (SELECT ledger_id, count(*) FILTER (event_id % 67 <> 0 AND (event_id % 59 = 0 OR event_id % 61 = 0)) AS unreadable FROM bodies GROUP BY 1)
 """
 
-QUERIES = {f.__name__: f for f in (led_build, led_verify, led_verify_intact, led_verify_strict, led_declared, led_head, led_chain_at, dg_bytes, ex_aat_verify, au_replay, wn_guard, wn_latest, wn_history, wn_strict, wn_equiv, wn_check, wn_gap, led_lines, led_states, dg_json, cn_jcs, dd_near)}
+QUERIES = {f.__name__: f for f in (led_build, led_verify, led_verify_intact, led_verify_strict, led_declared, led_head, led_chain_at, dg_bytes, ex_aat_verify, au_replay, wn_guard, wn_latest, wn_history, wn_strict, wn_equiv, wn_check, wn_verdict, wn_gap, led_lines, led_states, dg_json, cn_jcs, dd_near)}
 
 ORACLE = {
     "led_build": BASE + "SELECT ledger_id, line, chain FROM chained",
@@ -273,6 +286,14 @@ f AS (SELECT g.namespace, CASE WHEN g.rows = 0 THEN 'no_record' WHEN coalesce(sz
   FROM guarded g LEFT JOIN sz USING (namespace) LEFT JOIN nc ON nc.ledger_id = g.namespace AND nc.line = g.rows WHERE reason = 'taken')
 SELECT sz.namespace, count(w) AS pins, CASE WHEN count(w) = 0 THEN 'no_record' WHEN bool_or(w = 'truncated') THEN 'truncated' WHEN bool_or(w = 'rewritten') THEN 'rewritten' WHEN bool_or(w = 'consistent') THEN 'consistent' ELSE 'no_record' END AS verdict
 FROM sz LEFT JOIN f USING (namespace) GROUP BY 1""",
+    "wn_verdict": BASE + PINS + """, h AS (SELECT *, lower(chain) AS c FROM guarded WHERE reason = 'taken' OR CAST(namespace AS BIGINT) % 5 = 0),
+n AS (SELECT ledger_id AS namespace, CAST(ledger_id AS BIGINT) AS k, line, chain FROM chained WHERE NOT (CAST(ledger_id AS BIGINT) % 4 = 0 AND line > 30)),
+sz AS (SELECT namespace, any_value(k) AS k, count(*) AS n FROM n GROUP BY 1),
+f AS (SELECT h.namespace, h.reason = 'malformed' AS odd, h.rows, h.c, CASE WHEN h.reason = 'malformed' THEN NULL WHEN h.rows = 0 THEN 'no_record' WHEN coalesce(sz.n, 0) < h.rows THEN 'truncated' WHEN n.chain <> h.c THEN 'rewritten' ELSE 'consistent' END AS w FROM h LEFT JOIN sz USING (namespace) LEFT JOIN n ON n.namespace = h.namespace AND n.line = h.rows),
+tw AS (SELECT DISTINCT namespace FROM (SELECT namespace, rows FROM f WHERE NOT odd AND rows > 0 GROUP BY 1, 2 HAVING count(DISTINCT c) > 1)),
+g AS (SELECT sz.namespace, any_value(k) AS k, any_value(n) AS n, count(f.rows) AS pins, coalesce(bool_or(odd), false) AS odd, coalesce(bool_or(w = 'truncated'), false) AS truncated, coalesce(bool_or(w = 'rewritten'), false) AS rewritten, coalesce(bool_or(w = 'consistent'), false) AS fine FROM sz LEFT JOIN f ON f.namespace = sz.namespace GROUP BY 1)
+SELECT namespace, pins, CASE WHEN k % 3 <> 2 AND k % 7 = 0 AND pins > 0 THEN 'witness_broken' WHEN odd THEN 'witness_unreadable' WHEN k % 11 = 0 AND n >= 2 THEN 'local_broken' WHEN namespace IN (SELECT namespace FROM tw) THEN 'witness_broken' WHEN truncated THEN 'truncated' WHEN rewritten THEN 'rewritten' WHEN fine THEN 'consistent' ELSE 'no_record' END AS verdict,
+  CASE WHEN k % 3 = 2 THEN 'unestablished' WHEN k % 7 = 0 THEN 'broken' ELSE 'verified' END AS witness FROM g""",
     "led_lines": JSON_BASE + _verify_sql("damaged", "false").replace("FROM sums", "FROM sums JOIN unread USING (ledger_id)"),
     "led_states": """SELECT CASE WHEN event_id % 67 = 0 THEN 'blank' WHEN event_id % 59 = 0 OR event_id % 61 = 0 THEN 'unreadable' ELSE 'row' END AS state, count(*) AS lines, count(*) FILTER (event_id % 67 <> 0 AND event_id % 59 <> 0 AND event_id % 61 <> 0) AS chained FROM events GROUP BY 1""",
     "dg_json": "SELECT event_id, CASE WHEN event_id % 53 <> 0 THEN 'sha256:json-c14n:v1:' || sha256(replace(props, ' ', '')) END AS digest FROM events",
