@@ -155,6 +155,14 @@ class _Open:
             self.cut(self.at[name][-1])
 
 
+@lru_cache(1 << 14)
+def _telling(name: str) -> frozenset[str]:
+    """The words of one class, id or role that say what it is, if all that say something say the same."""
+    parts = frozenset(PART.findall(name))
+    telling = parts - PLAIN or parts
+    return telling if any(telling <= kind for kind in (STRONG, WEAK, COMMENT, GOOD)) else frozenset()
+
+
 def _labels(attributes: str) -> tuple[set[str], str]:
     """The words of class, id and role whose name they make up whole; and the first class or id itself, without digits.
 
@@ -166,10 +174,7 @@ def _labels(attributes: str) -> tuple[set[str], str]:
     for found in LABEL.finditer(attributes):
         value = (found[2] or found[3] or found[4] or "").lower()
         for name in value.split():
-            parts = set(PART.findall(name))
-            telling = parts - PLAIN or parts
-            if telling <= STRONG or telling <= WEAK or telling <= COMMENT or telling <= GOOD:
-                words |= telling
+            words |= _telling(name)
         if found[1].lower() == "role" and value.strip() == "main":
             words.add("role=main")
         if not first and found[1].lower() != "role":
