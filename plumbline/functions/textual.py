@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -39,21 +40,27 @@ def normalized(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(folded(text), F.lit("([\\p{L}\\p{N}_]+)"), 1), " ")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once a row; an expression inside a lambda would be computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def char_grams(text: Column, size: int = 4) -> Column:
     """Distinct character grams; the whole text where it is no longer than one."""
-    many = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))
+    runs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - size), lambda i: F.concat(*[F.get(c, i + k) for k in range(size)]))
+    many = F.array_distinct(bound(F.split(text, ""), runs))
     return F.when(F.length(text) == 0, F.array().cast("array<string>")).when(F.length(text) <= size, F.array(text)).otherwise(many)
 
 
 def word_bigrams(text: Column) -> Column:
-    words = F.split(text, " ")
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    return F.when(F.size(words) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(many))
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    return bound(F.split(text, " "), lambda w: F.when(F.size(w) < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(pairs(w))))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two sets; 1 if both are empty."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))))
+    of = lambda x, y: F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).otherwise(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))))
+    return bound(a, lambda x: bound(b, lambda y: of(x, y)))
 
 
 def overlap(x: Column, y: Column) -> Column:
