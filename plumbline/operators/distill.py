@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.canon import BYTES_RECIPE, canonical, digest, digest_bytes
+from plumbline.functions.textual import bound
 from plumbline.operators.scoring import ROW_CAPS, is_table, sentences
 
 #: Characters of a string, items of a list and keys of an object, at first and at least; rounds of halving; markers.
@@ -143,22 +144,25 @@ def table_cut(text: Column, budget: int) -> Column:
     never cut.
     """
     edges = lambda i: F.regexp_extract(text, r"^(\n*)((?s:.*?))(\n*)$", i)
-    lines = F.split(edges(2), "\n")
-    ruled = (F.size(lines) > 1) & F.coalesce(F.get(lines, F.lit(1)).rlike(r"^(?U:[\s|:-]+)$"), F.lit(False))
-    top = F.when(ruled, 2).otherwise(1)
-    n = F.size(lines) - top
 
-    def with_cap(cap: int) -> tuple[Column, Column]:
-        head, tail = -(-cap // 2), cap // 2
-        count = F.when(n > cap, n - cap).otherwise(0)
-        kept = F.concat(F.slice(lines, 1, top + head), F.array(F.concat(F.lit("...+"), count.cast("string"), F.lit(" rows dropped..."))), F.slice(lines, F.size(lines) - tail + 1, F.lit(tail)))
-        gone = F.slice(lines, top + head + 1, F.greatest(count, F.lit(0)))
-        content = F.when(count > 0, F.concat(edges(1), F.array_join(kept, "\n"), edges(3))).otherwise(text)
-        done = (F.length(content) <= budget) | (count == 0)
-        return done, F.struct(content.alias("content"), _one_drop("rows_dropped", "$", F.array_join(gone, "\n"), count).alias("drops"))
+    def cut(lines: Column) -> Column:
+        ruled = (F.size(lines) > 1) & F.coalesce(F.get(lines, F.lit(1)).rlike(r"^(?U:[\s|:-]+)$"), F.lit(False))
+        top = F.when(ruled, 2).otherwise(1)
+        n = F.size(lines) - top
 
-    tried = [with_cap(c) for c in ROW_CAPS]
-    return F.coalesce(*[F.when(done, found) for done, found in tried], tried[-1][1])
+        def with_cap(cap: int) -> Column:
+            head, tail = -(-cap // 2), cap // 2
+            count = F.when(n > cap, n - cap).otherwise(0)
+            kept = F.concat(F.slice(lines, 1, top + head), F.array(F.concat(F.lit("...+"), count.cast("string"), F.lit(" rows dropped..."))), F.slice(lines, F.size(lines) - tail + 1, F.lit(tail)))
+            gone = F.slice(lines, top + head + 1, F.greatest(count, F.lit(0)))
+            content = F.when(count > 0, F.concat(edges(1), F.array_join(kept, "\n"), edges(3))).otherwise(text)
+            drops = bound(F.array_join(gone, "\n"), lambda g: _one_drop("rows_dropped", "$", g, count))
+            last = F.lit(cap == ROW_CAPS[-1])
+            return bound(content, lambda c: F.when(last | (F.length(c) <= budget) | (count == 0), F.struct(c.alias("content"), drops.alias("drops"))))
+
+        return F.coalesce(*map(with_cap, ROW_CAPS))
+
+    return bound(F.split(edges(2), "\n"), cut)
 
 
 def prose_cut(text: Column, budget: int, query: str | None = None) -> Column:
@@ -169,31 +173,37 @@ def prose_cut(text: Column, budget: int, query: str | None = None) -> Column:
     earlier of equal ones goes first. Those that don't fit are passed over; the
     first always stays, and nothing is taken once the budget is used up.
     """
-    parts = sentences(text)
-    n = F.size(parts)
     words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(t), F.lit("([a-z0-9]+)"), 1))
     asked = words(F.lit(query)) if query else None
 
-    def ranked(s: Column, i: Column) -> Column:
-        place = F.greatest(F.lit(1.0) / (i + 1), F.lit(1.0) / (n - i))
-        weight = place if asked is None else place + 2.0 * F.size(F.array_intersect(words(s), asked))
-        return F.struct((-weight).alias("w"), i.alias("i"), F.length(s).alias("size"))
-
-    def take(state: Column, s: Column) -> Column:
-        cost = s["size"] + 1
-        fits = (F.size(state["kept"]) == 0) | ((state["used"] < budget) & (state["used"] + cost <= budget))
-        return F.struct(
-            F.when(fits, state["used"] + cost).otherwise(state["used"]).alias("used"),
-            F.when(fits, F.concat(state["kept"], F.array(s["i"]))).otherwise(state["kept"]).alias("kept"),
-        )
+    def chosen(parts: Column) -> Column:
+        n = F.size(parts)
+
+        def ranked(s: Column, i: Column) -> Column:
+            place = F.greatest(F.lit(1.0) / (i + 1), F.lit(1.0) / (n - i))
+            weight = place if asked is None else place + 2.0 * F.size(F.array_intersect(words(s), asked))
+            return F.struct((-weight).alias("w"), i.alias("i"), F.length(s).alias("size"))
+
+        def take(state: Column, s: Column) -> Column:
+            cost = s["size"] + 1
+            fits = (F.size(state["kept"]) == 0) | ((state["used"] < budget) & (state["used"] + cost <= budget))
+            return F.struct(
+                F.when(fits, state["used"] + cost).otherwise(state["used"]).alias("used"),
+                F.when(fits, F.concat(state["kept"], F.array(s["i"]))).otherwise(state["kept"]).alias("kept"),
+            )
+
+        start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("kept"))
+        return F.array_sort(F.aggregate(F.array_sort(F.transform(parts, ranked)), start, take)["kept"])
+
+    def put(parts: Column, kept: Column) -> Column:
+        marked = F.transform(kept, lambda i, k: F.when((k > 0) & (F.get(kept, k - 1) < i - 1), F.concat(F.lit(GAP + " "), F.get(parts, i))).otherwise(F.get(parts, i)))
+        lost = F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), kept), lambda i: F.get(parts, i))
+        drops = bound(F.array_join(lost, " "), lambda g: _one_drop("sentences_dropped", "text", g, F.size(parts) - F.size(kept)))
+        return F.struct(F.array_join(marked, " ").alias("content"), drops.alias("drops"))
 
-    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<int>").alias("kept"))
-    kept = F.array_sort(F.aggregate(F.array_sort(F.transform(parts, ranked)), start, take)["kept"])
-    marked = F.transform(kept, lambda i, k: F.when((k > 0) & (F.get(kept, k - 1) < i - 1), F.concat(F.lit(GAP + " "), F.get(parts, i))).otherwise(F.get(parts, i)))
-    lost = F.transform(F.array_except(F.sequence(F.lit(0), n - 1), kept), lambda i: F.get(parts, i))
     whole = F.struct(text.alias("content"), F.array().cast(DROPS).alias("drops"))
-    cut = F.struct(F.array_join(marked, " ").alias("content"), _one_drop("sentences_dropped", "text", F.array_join(lost, " "), F.size(lost)).alias("drops"))
-    return F.when((n == 0) | (F.length(text) <= budget), whole).otherwise(cut)
+    cut = lambda parts: F.when(F.size(parts) == 0, whole).otherwise(bound(chosen(parts), lambda kept: put(parts, kept)))
+    return F.when(F.length(text) <= budget, whole).otherwise(bound(sentences(text), cut))
 
 
 def distill(rows: DataFrame, tokens: int, query: str | None = None) -> DataFrame:
@@ -229,19 +239,22 @@ def receipt_state(raw: Column) -> Column:
     `truncated` must say whether there are drops. No digest is held against
     content, which a receipt doesn't carry.
     """
-    parsed = F.from_json(raw, RECEIPT)
-    formed = lambda d: F.coalesce(d.rlike(r"\Asha256:[^:]+:[^:]+:[0-9a-f]{64}\z"), F.lit(False))
-    counted = lambda n: F.coalesce(n >= 0, F.lit(False))
-    fine = formed(parsed["full"]["digest"]) & formed(parsed["distilled"]["digest"]) & counted(parsed["full"]["bytes"]) & counted(parsed["distilled"]["bytes"])
-    fine = fine & F.forall(parsed["drops"], lambda d: formed(d["digest"]) & counted(d["dropped_bytes"]) & counted(d["dropped_count"]))
-    fine = fine & (parsed["truncated"] == (F.size(parsed["drops"]) > 0))
-    part = lambda name: F.get_json_object(raw, f"$.{name}")
-    shape = part("full").startswith("{") & part("distilled").startswith("{") & part("drops").startswith("[") & part("truncated").isin("true", "false")
-    shape = shape & ~F.coalesce(F.exists(parsed["drops"], lambda d: d.isNull()), F.lit(True))
-    return (
-        F.when(raw.isNull() | F.try_parse_json(raw).isNull() | ~F.coalesce(F.trim(raw).startswith("{"), F.lit(False)), "malformed")
-        .when(F.coalesce(part("schema") != SCHEMA, F.lit(True)), "unknown_schema")
-        .when(~F.coalesce(shape, F.lit(False)), "malformed")
-        .when(F.coalesce(fine, F.lit(False)), "consistent")
-        .otherwise("inconsistent")
-    )
+
+    def state(raw: Column, parsed: Column) -> Column:
+        formed = lambda d: F.coalesce(d.rlike(r"\Asha256:[^:]+:[^:]+:[0-9a-f]{64}\z"), F.lit(False))
+        counted = lambda n: F.coalesce(n >= 0, F.lit(False))
+        fine = formed(parsed["full"]["digest"]) & formed(parsed["distilled"]["digest"]) & counted(parsed["full"]["bytes"]) & counted(parsed["distilled"]["bytes"])
+        fine = fine & F.forall(parsed["drops"], lambda d: formed(d["digest"]) & counted(d["dropped_bytes"]) & counted(d["dropped_count"]))
+        fine = fine & (parsed["truncated"] == (F.size(parsed["drops"]) > 0))
+        part = lambda name: F.get_json_object(raw, f"$.{name}")
+        shape = part("full").startswith("{") & part("distilled").startswith("{") & part("drops").startswith("[") & part("truncated").isin("true", "false")
+        shape = shape & ~F.coalesce(F.exists(parsed["drops"], lambda d: d.isNull()), F.lit(True))
+        return (
+            F.when(raw.isNull() | F.try_parse_json(raw).isNull() | ~F.coalesce(F.trim(raw).startswith("{"), F.lit(False)), "malformed")
+            .when(F.coalesce(part("schema") != SCHEMA, F.lit(True)), "unknown_schema")
+            .when(~F.coalesce(shape, F.lit(False)), "malformed")
+            .when(F.coalesce(fine, F.lit(False)), "consistent")
+            .otherwise("inconsistent")
+        )
+
+    return bound(raw, lambda r: bound(F.from_json(r, RECEIPT), lambda parsed: state(r, parsed)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.textual import bound
+
 #: Types of scoring, points of a calibration item, row caps that a table is halved through, the size below which a delta is noise.
 KINDS = ("exact_match", "numeric_tolerance", "calibration")
 POINTS = {"correct": 1.0, "wrong": -1.0, "idk_answerable": 0.2, "idk_unanswerable": 1.0}
@@ -113,13 +115,15 @@ def set_digest(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 def is_table(text: Column) -> Column:
     """At least three lines that aren't blank, whose numbers of tabs, bars or commas are above zero first and at most two different ones."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
 
-    def by(mark: str) -> Column:
-        counts = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit(""))))
-        return (F.get(counts, F.lit(0)) > 0) & (F.size(F.array_distinct(counts)) <= 2)
+    def told(lines: Column) -> Column:
+        def by(mark: str) -> Column:
+            counts = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(mark), F.lit(""))))
+            return bound(counts, lambda c: (F.get(c, F.lit(0)) > 0) & (F.size(F.array_distinct(c)) <= 2))
+
+        return (F.size(lines) >= 3) & (by("\t") | by("|") | by(","))
 
-    return F.coalesce((F.size(lines) >= 3) & (by("\t") | by("|") | by(",")), F.lit(False))
+    return F.coalesce(bound(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""), told), F.lit(False))
 
 
 def kind_of(text: Column) -> Column:

@@ -5,7 +5,7 @@ import time
 from pyspark.sql import functions as F
 
 from plumbline.functions import textual
-from plumbline.operators import near
+from plumbline.operators import distill, near
 
 LONG = " ".join(f"w{i * 7919 % 5003}x{i}" for i in range(12_000))
 
@@ -18,3 +18,11 @@ def test_overlap_of_long_texts(spark):
     for i, x, y in pairs[:4]:
         assert abs(found[i] - min(0.9995, *map(near._jaccard, near._sets(x), near._sets(y)))) < 1e-12
     assert found[4] == 0
+
+
+def test_distilled_long_texts(spark):
+    text = " ".join(f"Number {i} of 7 is said here." for i in range(6000))
+    began = time.monotonic()
+    row = distill.distill(spark.createDataFrame([(1, text)], "id int, text string"), 200, "the of 7").select("strategy", "receipt.drops", distill.receipt_state(F.to_json("receipt")).alias("state")).first()
+    assert time.monotonic() - began < 30
+    assert (row["strategy"], row["state"], len(row["drops"])) == ("text", "consistent", 1)
