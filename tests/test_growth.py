@@ -26,3 +26,12 @@ def test_distilled_long_texts(spark):
     row = distill.distill(spark.createDataFrame([(1, text)], "id int, text string"), 200, "the of 7").select("strategy", "receipt.drops", distill.receipt_state(F.to_json("receipt")).alias("state")).first()
     assert time.monotonic() - began < 30
     assert (row["strategy"], row["state"], len(row["drops"])) == ("text", "consistent", 1)
+
+
+def test_sentences_chosen_from_long_texts(spark):
+    parts = [f"Sentence number {i}." for i in range(6000)]
+    began = time.monotonic()
+    c = spark.createDataFrame([(" ".join(parts),)], "text string").select(distill.prose_cut(F.col("text"), 50).alias("c")).first()["c"]
+    assert time.monotonic() - began < 30
+    assert c["content"] == f"{parts[0]} [...] {parts[-1]}"
+    assert c["drops"][0]["dropped_count"] == 5998
