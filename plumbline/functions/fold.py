@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -23,7 +24,12 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], start: Callab
 
 
 def column_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[str], start: Callable[[], object], step: Callable, added: T.StructType) -> DataFrame:
-    """ordered_fold for rules that need a few columns: step(state, *inputs). The other columns stay Arrow data."""
+    """ordered_fold for rules that need a few columns: step(state, *inputs). The other columns stay Arrow data.
+
+    Rows are dealt by a hash of the keys: a deal by the keys themselves is left
+    out by Spark where df comes dealt so from a join, whose partitions it may
+    still split or read by mapper, and a key would no longer be whole.
+    """
     names = added.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,5 +47,5 @@ def column_fold(df: DataFrame, keys: list[str], order: list[str], inputs: list[s
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, *names])
 
     kinds = [to_arrow_type(f.dataType) for f in added.fields]
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    dealt = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
     return dealt.mapInArrow(run, T.StructType(df.schema.fields + added.fields))

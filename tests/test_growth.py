@@ -3,8 +3,10 @@
 import time
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import textual
+from plumbline.functions.fold import column_fold
 from plumbline.operators import distill, near
 
 LONG = " ".join(f"w{i * 7919 % 5003}x{i}" for i in range(12_000))
@@ -35,3 +37,16 @@ def test_sentences_chosen_from_long_texts(spark):
     assert time.monotonic() - began < 30
     assert c["content"] == f"{parts[0]} [...] {parts[-1]}"
     assert c["drops"][0]["dropped_count"] == 5998
+
+
+def test_folds_deal_keys_themselves_behind_joins(spark):
+    plain = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(plain)
+    spark.conf.set(plain, "-1")  # as large tables are planned; a join's partitions may be split while it runs
+    try:
+        rows, few = spark.range(0, 400, 1, 4).select((F.col("id") % 40).alias("k"), F.col("id").alias("n")), spark.range(40).select(F.col("id").alias("k"))
+        made = column_fold(rows.join(few, "k", "left"), ["k"], ["n"], ["n"], lambda: 0, lambda s, n: (s + 1, (s + 1,)), T.StructType([T.StructField("place", T.LongType())]))
+        assert "REPARTITION_BY_COL" in made._jdf.queryExecution().executedPlan().toString()
+        assert made.groupBy("k").agg(F.max("place").alias("most")).where("most <> 10").count() == 0
+    finally:
+        spark.conf.set(plain, before)
