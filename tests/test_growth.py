@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 from plumbline.functions import textual
 from plumbline.functions.fold import column_fold
 from plumbline.operators import distill, near
+from plumbline.plans import comparisons
 
 LONG = " ".join(f"w{i * 7919 % 5003}x{i}" for i in range(12_000))
 
@@ -50,3 +51,11 @@ def test_folds_deal_keys_themselves_behind_joins(spark):
         assert made.groupBy("k").agg(F.max("place").alias("most")).where("most <> 10").count() == 0
     finally:
         spark.conf.set(plain, before)
+
+
+def test_parts_beyond_a_million_are_still_added(spark, tmp_path):
+    spark.range(1_000_000, 1_000_060).unionAll(spark.range(60)).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_type")).write.parquet(f"{tmp_path}/part.parquet")
+    found = comparisons.ct_diff(spark, str(tmp_path))
+    want = [(k, "removed" if k % 19 == 0 else "changed") for k in (*range(60), *range(1_000_000, 1_000_060)) if k % 19 == 0 or k % 23 == 0]
+    want += [(k + 1_000_000, "added") for k in (*range(60), *range(1_000_000, 1_000_060)) if k % 29 == 0]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
