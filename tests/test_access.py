@@ -60,3 +60,8 @@ def test_register_sums_in_hash_tables(spark):
     things, _ = access.register(calls)
     assert "SortAggregate" not in things._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r)[2:] for r in things.collect()] == [("/x", 2, 1, 1)]
+
+
+def test_coverage_only_reads(spark):
+    assert tuple(access.register(spark.createDataFrame([(1, "a", '{"path": "/x"}'), (2, "a", "{")], "id long, tool string, arguments string"))[1].first()) == (2, 1, 1)
+    assert access.readable(spark.createDataFrame([(1, "{}")], "id long, arguments string")).columns == ["readable"]
