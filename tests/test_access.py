@@ -65,3 +65,10 @@ def test_register_sums_in_hash_tables(spark):
 def test_coverage_only_reads(spark):
     assert tuple(access.register(spark.createDataFrame([(1, "a", '{"path": "/x"}'), (2, "a", "{")], "id long, tool string, arguments string"))[1].first()) == (2, 1, 1)
     assert access.readable(spark.createDataFrame([(1, "{}")], "id long, arguments string")).columns == ["readable"]
+
+
+def test_calls_are_not_shuffled_to_be_named(spark):
+    calls = spark.createDataFrame([(1, "a", '{"path": "/x", "again": "/x"}'), (2, "b", '{"doc_id": 5}')], "id long, tool string, arguments string")
+    named = access.accessed(calls)
+    assert "Exchange" not in named._jdf.queryExecution().executedPlan().toString()
+    assert [(r.id, r.place, r.kind, r.name) for r in named.orderBy("id").collect()] == [(1, 1, "file", "/x"), (2, 1, "record", "5")]
