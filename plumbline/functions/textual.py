@@ -84,11 +84,26 @@ def head_and_tail(rows: DataFrame, key: str, order: str, cap: int) -> DataFrame:
 
 
 def entropy(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, bits): Shannon entropy in bits a character; 0 for an empty text."""
-    one = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(1)))
-    chars = rows.select(key, F.length(text).alias("_len"), F.explode(one).alias("_c")).groupBy(key, "_len", "_c").agg(F.count("*").alias("_k"))
-    share = F.col("_k") / F.greatest(F.col("_len"), F.lit(1))
-    return chars.groupBy(key).agg(F.round(-F.sum(share * F.log2(share)) + 0.0, 6).alias("bits"))
+    """(key, bits): Shannon entropy in bits a character; 0 for an empty text.
+
+    Characters are sorted and their runs counted within the key's row, so that
+    they are neither shuffled nor held in a table over all keys.
+    """
+    start = F.struct(F.lit(None).cast("struct<n:int,c:string>").alias("last"), F.lit(0).cast("long").alias("run"), F.lit(0.0).alias("sum"))
+
+    def ended(state: Column) -> Column:
+        share = state["run"] / F.greatest(state["last"]["n"], F.lit(1))
+        return F.when(state["run"] > 0, state["sum"] + share * F.log2(share)).otherwise(state["sum"])
+
+    def add(state: Column, x: Column) -> Column:
+        same = state["last"].eqNullSafe(x)
+        return F.struct(x.alias("last"), F.when(same, state["run"] + 1).otherwise(F.lit(1).cast("long")).alias("run"), F.when(same, state["sum"]).otherwise(ended(state)).alias("sum"))
+
+    each = lambda t: F.transform(F.coalesce(F.split(t, ""), F.array(F.lit(None).cast("string"))), lambda c: F.struct(F.length(t).alias("n"), c.alias("c")))
+    # a key's texts are dealt to it before they are gathered: what a task holds is its share of the keys
+    texts = rows.select(key, F.struct(F.col(text).alias("t")).alias("_t")).repartition(key).groupBy(key).agg(F.collect_list("_t").alias("_t"))
+    bits = F.aggregate(F.array_sort(F.flatten(F.transform("_t", lambda t: each(t["t"])))), start, add, lambda state: -ended(state))
+    return texts.select(key, F.round(bits + 0.0, 6).alias("bits"))
 
 
 def url_name(url: Column) -> Column:

@@ -1,5 +1,6 @@
 """Long texts and large keys: what a row costs grows with its own size, and keys stay whole."""
 
+import math
 import time
 
 from pyspark.sql import functions as F
@@ -59,3 +60,13 @@ def test_parts_beyond_a_million_are_still_added(spark, tmp_path):
     want = [(k, "removed" if k % 19 == 0 else "changed") for k in (*range(60), *range(1_000_000, 1_000_060)) if k % 19 == 0 or k % 23 == 0]
     want += [(k + 1_000_000, "added") for k in (*range(60), *range(1_000_000, 1_000_060)) if k % 29 == 0]
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_entropy_within_each_key(spark):
+    texts = {1: ["abca"], 2: [""], 3: ["aaaa"], 4: ["ab", "bc", "abc"], 5: ["é😀é"], 6: [None]}
+    found = textual.entropy(spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts], "k int, t string"), "k", "t")
+    want = {1: 1.5, 2: 0.0, 3: 0.0, 5: 0.918296, 6: 0.0}
+    shares = [1 / 2, 2 / 2, 1 / 2, 1 / 3, 1 / 3, 1 / 3]
+    want[4] = round(-sum(s * math.log2(s) for s in shares), 6)
+    assert dict(map(tuple, found.collect())) == want
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row a character
