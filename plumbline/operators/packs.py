@@ -13,6 +13,7 @@ from plumbline.functions.canon import GENESIS
 from plumbline.functions.verdicts import worst_of
 from plumbline.operators import chain
 from plumbline.operators.rows import read_rows
+from plumbline.session import settled
 
 #: Outcomes from the worst on; the third says that a check could not be made, and is no pass.
 BAD, CNL, GOOD = "bad", "could_not_look", "good"
@@ -26,19 +27,19 @@ def _read(window: DataFrame) -> DataFrame:
     return read_rows(window.withColumnRenamed("pack", "ledger_id")).withColumnRenamed("ledger_id", "pack")
 
 
-def _long(sums: DataFrame, section: str, names: list[str]) -> DataFrame:
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("value")) for n in names]))
-    return sums.select("pack", each.alias("f")).select("pack", F.lit(section).alias("section"), "f.field", F.coalesce("f.value", F.lit("")).alias("value"))
+def _long(sums: DataFrame, sections: dict[str, list[str]]) -> DataFrame:
+    each = [F.struct(F.lit(s).alias("section"), F.lit(n).alias("field"), F.coalesce(F.col(n).cast("string"), F.lit("")).alias("value")) for s, names in sections.items() for n in names]
+    return sums.select("pack", F.explode(F.array(*each)).alias("f")).select("pack", "f.*")
 
 
-def derived(packs: DataFrame, window: DataFrame, allowed: list[str]) -> DataFrame:
-    """(FIELDS) of every pack (pack): all that its window says.
+def derived(packs: DataFrame, window: DataFrame, allowed: list[str], read: DataFrame | None = None) -> DataFrame:
+    """(FIELDS) of every pack (pack): all that its window says; `read` are the window's rows where they have been read before.
 
     export: rows, first and last line, head, newest time, and rows by event.
     mandate: rows whose event is allowed, denied, or can't be told. statements:
     what could not be looked at, which a pack has to say itself.
     """
-    rows = _read(window)
+    rows = _read(window) if read is None else read
     part = lambda k: F.get_json_object("body", f"$.{k}")
     rows = rows.withColumns({"event": part("event"), "ts": part("ts"), "read": F.col("state") == "row"})
     known = F.col("event").isNotNull()
@@ -57,8 +58,8 @@ def derived(packs: DataFrame, window: DataFrame, allowed: list[str]) -> DataFram
     sums = packs.join(sums, "pack", "left").fillna(0, ["rows", "allowed", "denied", "undecided", "unreadable", "undated"]).withColumn("empty", (F.col("rows") == 0).cast("int"))
     events = rows.where(known).groupBy("pack", "event").agg(F.count("*").alias("n"))
     by_event = events.select("pack", F.lit("export").alias("section"), F.concat(F.lit("event:"), "event").alias("field"), F.col("n").cast("string").alias("value"))
-    stated = _long(sums, "statements", ["unreadable", "undated", "empty"]).where("value <> '0'")
-    return _long(sums, "export", ["rows", "first_line", "last_line", "head", "newest"]).unionAll(by_event).unionAll(_long(sums, "mandate", ["allowed", "denied", "undecided"])).unionAll(stated)
+    fields = _long(sums, {"export": ["rows", "first_line", "last_line", "head", "newest"], "mandate": ["allowed", "denied", "undecided"], "statements": ["unreadable", "undated", "empty"]})
+    return fields.where("section <> 'statements' or value <> '0'").unionAll(by_event)
 
 
 def _mixed(rows: DataFrame, name: str, *columns: str) -> DataFrame:
@@ -83,11 +84,14 @@ def in_window(source: DataFrame, since: str, until: str) -> DataFrame:
 
 
 def build(source: DataFrame, pins: DataFrame, since: str, until: str, allowed: list[str]) -> dict[str, DataFrame]:
-    """The tables of one pack a ledger, of source lines and of pins (ledger_id, rows, chain)."""
+    """The tables of one pack a ledger, of source lines and of pins (ledger_id, rows, chain).
+
+    Window and fields are computed once and kept: the seal reads them again.
+    """
     packs = source.select(F.col("ledger_id").alias("pack")).distinct()
-    window = in_window(source, since, until)
+    window = settled(in_window(source, since, until))
     own = pins.select(F.col("ledger_id").alias("pack"), "rows", "chain")
-    fields = derived(packs, window, allowed)
+    fields = settled(derived(packs, window, allowed))
     return {"window": window, "fields": fields, "pins": own, "manifest": sealed(packs, window, fields, own)}
 
 
@@ -123,7 +127,7 @@ def check(packs: DataFrame, pack: dict[str, DataFrame], source: DataFrame, store
         met = packs.join(has, "pack", "left").join(sums, "pack", "left")
         found.append(met.select("pack", F.lit(name).alias("check"), F.when(F.col("has").isNull(), CNL).when(F.coalesce("bad", F.lit(0)) > 0, BAD).otherwise(GOOD).alias("outcome")))
 
-    rows = _read(window)
+    rows = settled(_read(window).drop("raw"))
     before = rows.where("chain is not null").select("pack", (F.col("line") + 1).alias("line"), F.col("chain").alias("previous"))
     linked = rows.where("state = 'row'").join(before, ["pack", "line"], "left")
     want = chain.linked(F.coalesce("previous", F.lit(GENESIS)), F.col("body"))
@@ -133,7 +137,7 @@ def check(packs: DataFrame, pack: dict[str, DataFrame], source: DataFrame, store
     met = packs.join(broken, "pack", "left").join(head, "pack", "left")
     found.append(met.select("pack", F.lit("chain").alias("check"), _outcome((F.coalesce("bad", F.lit(0)) > 0) | (F.col("head") != F.coalesce("last", F.lit(""))), F.col("head").isNull()).alias("outcome")))
 
-    fresh = derived(packs, window, allowed).withColumnRenamed("value", "fresh")
+    fresh = derived(packs, window, allowed, rows).withColumnRenamed("value", "fresh")
     said = pack["fields"].groupBy("pack", "section", "field").agg(F.max("value").alias("value"), F.count("*").alias("k"))
     both = said.join(fresh, ["pack", "section", "field"], "full")
     odd = both.groupBy("pack", "section").agg(F.count_if(~F.col("value").eqNullSafe(F.col("fresh")) | (F.col("k") > 1)).alias("bad"), F.count("*").alias("n"))

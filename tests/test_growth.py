@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import textual
 from plumbline.functions.fold import column_fold
-from plumbline.operators import distill, near
+from plumbline.operators import distill, near, packs
 from plumbline.plans import comparisons
 
 LONG = " ".join(f"w{i * 7919 % 5003}x{i}" for i in range(12_000))
@@ -70,3 +70,11 @@ def test_entropy_within_each_key(spark):
     want[4] = round(-sum(s * math.log2(s) for s in shares), 6)
     assert dict(map(tuple, found.collect())) == want
     assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()  # no row a character
+
+
+def test_packs_are_read_once(spark):
+    raw = '{"event": "view", "ts": "2024-01-02", "chain": "c"}'
+    source = spark.createDataFrame([("a", 1, raw), ("a", 2, "torn")], "ledger_id string, line long, raw string")
+    made = packs.build(source, source.select("ledger_id", F.col("line").alias("rows"), F.lit("c").alias("chain")), "2024-01-01", "2024-01-03", ["view"])
+    assert "MapInArrow" not in made["manifest"]._jdf.queryExecution().executedPlan().toString()
+    assert {(r.section, r.field): r.value for r in made["fields"].collect() if r.section != "export"} == {("mandate", "allowed"): "1", ("mandate", "denied"): "0", ("mandate", "undecided"): "1", ("statements", "unreadable"): "1"}
