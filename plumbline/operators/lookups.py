@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.textual import bound
 from plumbline.operators.scoring import chunks
 from plumbline.session import settled
 
@@ -23,7 +24,7 @@ def spans(text: Column, pattern: str) -> Column:
         stop = begin + F.length(pair["c"])
         return F.struct(stop.alias("at"), F.concat(state["done"], F.array(F.struct(pair["c"].alias("cite"), begin.alias("start"), stop.alias("stop")))).alias("done"))
 
-    pairs = F.transform(found, lambda c, i: F.struct(F.get(between, i).alias("b"), c.alias("c")))
+    pairs = bound(between, lambda b: F.transform(found, lambda c, i: F.struct(F.get(b, i).alias("b"), c.alias("c"))))
     return F.aggregate(pairs, start, add)["done"]
 
 
@@ -43,8 +44,13 @@ def look_up(texts: DataFrame, answers: DataFrame, pattern: str, most: int = MOST
     paragraphs = chunks(rows, 1).select("key", F.col("chunk").alias("paragraph"), F.col("offset").alias("begin"), (F.col("offset") + F.col("size")).alias("finish"))
     wide = chunks(rows, most).select("key", "chunk", F.col("offset").alias("from"), (F.col("offset") + F.col("size")).alias("to"))
     found = rows.select("key", F.explode(spans(F.col("text"), pattern)).alias("c")).select("key", "c.*")
-    inside = lambda at, a, b: (F.col("start") >= F.col(a)) & (F.col("start") < F.col(b))
-    placed = found.join(paragraphs, "key").where(inside("start", "begin", "finish")).join(wide, "key").where(inside("start", "from", "to"))
+    # starts of paragraphs, of chunks and of citations are gone through in order, so no text's are paired with each other
+    marks = paragraphs.select("key", F.col("begin").alias("at"), F.lit(0).alias("cited"), F.struct("paragraph", "begin", "finish").alias("p"))
+    marks = marks.unionByName(wide.select("key", F.col("from").alias("at"), F.lit(0).alias("cited"), F.struct("chunk", "to").alias("w")), allowMissingColumns=True)
+    marks = marks.unionByName(found.select("key", F.col("start").alias("at"), F.lit(1).alias("cited"), "start", "stop", "cite"), allowMissingColumns=True)
+    so_far = Window.partitionBy("key").orderBy("at", "cited").rowsBetween(Window.unboundedPreceding, 0)
+    met = marks.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in "pw"}).where("cited = 1")
+    placed = met.select("key", "start", "stop", "cite", "p.*", "w.*").where("start < finish and start < to")
     placed = settled(placed.select("key", "start", "stop", "cite", "paragraph", F.floor((F.col("start") - F.col("begin")) / most).alias("piece"), "chunk"))
 
     def asked(cites: DataFrame, request: list[str], attempt: int) -> DataFrame:

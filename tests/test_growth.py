@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import textual
 from plumbline.functions.fold import column_fold
-from plumbline.operators import distill, near, packs
+from plumbline.operators import distill, lookups, near, packs
 from plumbline.plans import comparisons
 
 LONG = " ".join(f"w{i * 7919 % 5003}x{i}" for i in range(12_000))
@@ -78,3 +78,11 @@ def test_packs_are_read_once(spark):
     made = packs.build(source, source.select("ledger_id", F.col("line").alias("rows"), F.lit("c").alias("chain")), "2024-01-01", "2024-01-03", ["view"])
     assert "MapInArrow" not in made["manifest"]._jdf.queryExecution().executedPlan().toString()
     assert {(r.section, r.field): r.value for r in made["fields"].collect() if r.section != "export"} == {("mandate", "allowed"): "1", ("mandate", "denied"): "0", ("mandate", "undecided"): "1", ("statements", "unreadable"): "1"}
+
+
+def test_citations_of_long_texts(spark):
+    text = "\n".join(f"Citation{i % 10} x" for i in range(6000)).translate(str.maketrans("0123456789", "abcdefghij"))
+    began = time.monotonic()
+    found = lookups.look_up(spark.createDataFrame([(1, text)], "key long, text string"), spark.createDataFrame([], "cite string, attempt int, status string"), "[A-Z][a-z]{6,}", per_request=10**6).collect()
+    assert time.monotonic() - began < 40
+    assert len(found) == 6000 and all(text[r.start : r.stop] == r.cite and r.status == "not_found" for r in found)
