@@ -83,7 +83,10 @@ def records(lines: DataFrame) -> DataFrame:
         if not ok or not isinstance(row, dict):
             return None, []
         found = _record(row, line)
-        bad = [k for k, v in found.items() if not _exact(v)]
+        try:
+            return jcs(found), []
+        except (ValueError, RecursionError):
+            bad = [k for k, v in found.items() if not _exact(v)]
         return jcs({k: v for k, v in found.items() if k not in bad}), bad
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,10 +3,11 @@
 import math
 import time
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.functions import textual
+from plumbline.functions import canon, textual
 from plumbline.functions.fold import column_fold
 from plumbline.operators import distill, lookups, near, packs
 from plumbline.plans import comparisons
@@ -80,6 +81,17 @@ def test_packs_are_read_once(spark):
     assert {(r.section, r.field): r.value for r in made["fields"].collect() if r.section != "export"} == {("mandate", "allowed"): "1", ("mandate", "denied"): "0", ("mandate", "undecided"): "1", ("statements", "unreadable"): "1"}
 
 
+def test_canonical_text_in_one_go(monkeypatch):
+    row = {"b": [1, None, True, "\u00e9\n\u2028"], "a": {"z": "\U0001f600", "k": -(2**53)}}
+    slow = {"\ue000": 1, "\U0001f600": 2, "x": 1.0}
+    assert canon.jcs(slow) == '{"x":1,"\U0001f600":2,"\ue000":1}'
+    for bad in (2**53 + 1, ["\ud800"], {"\ud800": 1}, float("nan")):
+        with pytest.raises(ValueError):
+            canon.jcs(bad)
+    monkeypatch.setattr(canon, "_string", None)  # nothing is put together piece by piece
+    assert canon.jcs(row) == '{"a":{"k":-9007199254740992,"z":"\U0001f600"},"b":[1,null,true,"\u00e9\\n\u2028"]}'
+
+
 def test_citations_of_long_texts(spark):
     text = "\n".join(f"Citation{i % 10} x" for i in range(6000)).translate(str.maketrans("0123456789", "abcdefghij"))
     began = time.monotonic()
