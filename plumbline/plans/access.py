@@ -11,8 +11,13 @@ from plumbline.session import table
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A call an order: nested arguments with paths, URLs, records, repeats, and some that can't be read."""
-    o = table(spark, sf_dir, "orders")
+    """A call an order: nested arguments with paths, URLs, records, repeats, and some that can't be read.
+
+    Orders are small and what is done to each is not, so they are dealt to all
+    cores, however the table's files and row groups are cut.
+    """
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    o = o.repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")
     k, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
     inner = F.struct(F.concat(F.lit("https://u:p@Host.example:8"), (k % 10).cast("string"), F.lit("/a/"), (k % 7).cast("string"), F.lit("?q=1#f")).alias("from"), F.array(F.concat(F.lit("./x/"), (k % 9).cast("string")), F.lit("plain")).alias("Files"), (k % 6).alias("doc_id"))
     body = F.to_json(F.struct(F.concat(F.lit("/data/"), (k % 50).cast("string")).alias("anything"), inner.alias("options"), F.col("o_orderpriority").alias("table"), F.lit("./x/1").alias("again"), F.lit(True).alias("record"), F.lit("file:///etc/hosts").alias("u")))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.canon import digest
 from plumbline.operators import access
+from plumbline.plans import access as plans
 
 
 def found(spark, *arguments):
@@ -72,3 +73,13 @@ def test_calls_are_not_shuffled_to_be_named(spark):
     named = access.accessed(calls)
     assert "Exchange" not in named._jdf.queryExecution().executedPlan().toString()
     assert [(r.id, r.place, r.kind, r.name) for r in named.orderBy("id").collect()] == [(1, 1, "file", "/x"), (2, 1, "record", "5")]
+
+
+def test_calls_of_one_file_go_to_all_cores(spark, tmp_path):
+    orders = spark.range(1, 401, 1, 1).selectExpr("id AS o_orderkey", "'F' AS o_orderstatus", "'1-URGENT' AS o_orderpriority")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    for query, n in ((plans.ax_walk, 2650), (plans.ax_coverage, 1)):
+        found = query(spark, str(tmp_path))
+        assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+        assert found.count() == n
+    assert plans.calls(spark, str(tmp_path)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
